@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BITS = 11
 
 
@@ -93,10 +95,39 @@ def profile(df: DataFrame, key_columns: Sequence[str], value: str, per_cent: Seq
     return n.join(wide, cond, "left").drop("_key_column", "_key_value")
 
 
-def heavy(df: DataFrame, key_columns: Sequence[str], value: str, share: float) -> DataFrame:
-    """Non-null key values that hold at least `share` of all rows of `df`, with their profile."""
+def heavy(df: DataFrame, key_columns: Sequence[str], value: str, share: float, per_cent: Sequence[int] = (25, 50, 75), width: int = 32, bits: int = BITS) -> DataFrame:
+    """Non-null key values that hold at least `share` of all rows, with exact quantiles of `value`.
+
+    Columns key_column, key_value, n_rows, n_valued, q<p>. Each pass over the rows makes one
+    histogram per open (key, prefix) and refines it by `bits` bits: the first has the leading bits of
+    all keys, whose counts add up to the rows per key; the others only see the heavy keys. There are
+    at most 1 / share heavy keys per key column and one open prefix per quantile, so the broadcast
+    set of open prefixes is bounded by len(key_columns) * len(per_cent) / share rows. A histogram row
+    stands for a key and bucket, so a hot key sends at most 2**bits counts per task. A heavy key
+    without any value has null quantiles. An empty table gives no row.
+    """
+    keys = ["key_column", "key_value"]
+    rows = long_keys(df.select(*dict.fromkeys([*key_columns, value])), key_columns, [value]).where("key_value is not null")
+    v = F.col(value).cast("bigint") + F.lit(1 << (width - 1))
+    shift = bits * ((width - 1) // bits)
+    coarse = rows.groupBy(*keys, F.shiftright(v, shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(F.lit(1)).alias("n"))
-    return profile(df, key_columns, value).where(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.lit(share) * total.scalar()))
+    found = cut(totals([coarse], keys).where(F.col("n_rows") >= F.lit(share) * total.scalar()))
+    ranks = F.explode(F.array(*(F.lit(int(p)) for p in per_cent))).alias("pct")
+    rank = F.greatest(F.lit(1), F.floor((F.col("pct") * F.col("n_valued") + 99) / 100)).cast("bigint")
+    want = found.where("n_valued > 0").select(*keys, "n_valued", ranks).select(*keys, "pct", rank.alias("rank"), F.lit(0).cast("bigint").alias("prefix"))
+    inside = Window.partitionBy(*keys, "pct", "prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    while shift >= 0:
+        open_ = F.broadcast(want.select(*keys, "prefix").distinct())
+        digits = rows.where(F.col(value).isNotNull()).select(*keys, F.shiftright(v, shift).alias("bucket"))
+        digits = digits.withColumn("prefix", F.shiftright("bucket", bits) if shift + bits < width else F.lit(0).cast("bigint"))
+        level = digits.join(open_, [*keys, "prefix"], "left_semi").groupBy(*keys, "prefix", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        step = want.join(level, [*keys, "prefix"]).withColumn("_cum", F.sum("n").over(inside)).where("_cum >= rank and _cum - n < rank")
+        want = cut(step.select(*keys, "pct", (F.col("rank") - (F.col("_cum") - F.col("n"))).alias("rank"), F.col("bucket").alias("prefix")))
+        shift -= bits
+    value_of = F.col("prefix") - F.lit(1 << (width - 1))
+    wide = want.groupBy(*keys).agg(*(F.max(F.when(F.col("pct") == p, value_of)).alias(f"q{p}") for p in per_cent))
+    return found.join(wide, keys, "left")
 
 
 def category_counts(df: DataFrame, key_columns: Sequence[str], category: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import ship, small_batches
 
 #: Output columns in order: name, Spark type.
 FIELDS = {
@@ -122,7 +122,8 @@ def node_values(entry: list, wanted: Sequence[str]) -> list:
 
 
 ARROW = {"IntegerType": pa.int32(), "StringType": pa.string(), "BooleanType": pa.bool_(), "MapType": pa.map_(pa.string(), pa.string())}
-BATCH = 20_000
+BATCH = 5_000
+DOCS = 100
 
 
 def latest_readable(trees: DataFrame, key: str, order: Column, doc: str) -> DataFrame:
@@ -132,6 +133,7 @@ def latest_readable(trees: DataFrame, key: str, order: Column, doc: str) -> Data
     maximum is merged map-side, so a tree delivered very often sends one document per task.
     """
     ship(trees.sparkSession)
+    small_batches(trees.sparkSession, DOCS)
     readable = F.pandas_udf(lambda s: s.map(lambda d: read_document(d) is not None).astype(bool), T.BooleanType())
     rows = trees.select(F.col(key).alias("_key"), order.alias("_order"), F.col(doc).alias("_doc"))
     good = rows.where(readable("_doc"))
@@ -146,6 +148,7 @@ def explode_nodes(docs: DataFrame, key: str, doc: str, columns: Sequence[str] =
     document has no row; a missing or null kind is `Unknown`.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession, DOCS)
     wanted = list(columns)
     schema = T.StructType([docs.schema[key], *(T.StructField(c, FIELDS[c]) for c in wanted)])
     kinds = [ARROW[type(FIELDS[c]).__name__] for c in wanted]

@@ -14,22 +14,25 @@ def plain_path(c: Column) -> Column:
     A path made of nothing but such steps becomes the empty string. `..` is kept as it is.
     """
     steps = F.split(F.regexp_replace(c, r"\\", "/"), "/")
-    return F.array_join(F.filter(steps, lambda s: (s != "") & (s != ".")), "/")
+    plain = F.array_join(F.filter(steps, lambda s: (s != "") & (s != ".")), "/")
+    return F.when(c.rlike(r"\\|//|^/|/$|(^|/)\.(/|$)"), plain).otherwise(c)
 
 
 def canonical_hash(columns: Sequence[Column]) -> Column:
     """One 128-bit digest of a row's values; a null differs from every value, and borders count."""
     tagged = [F.coalesce(F.concat(F.lit("v"), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n")) for c in columns]
-    return F.md5(F.concat(*tagged))
+    return F.unhex(F.md5(F.concat(*tagged)))
 
 
-def latest_rows(df: DataFrame, group: dict[str, Column], order: Column, digest: Column) -> DataFrame:
+def latest_rows(df: DataFrame, group: dict[str, Column], order: Column, digest: Column, spread: Sequence[str] = ()) -> DataFrame:
     """One row per group: the digest of the row with the greatest `order`.
 
     Of rows that tie on `order` the one with the greatest digest counts, so the result doesn't depend
-    on how rows are spread; a null order comes first. The maximum is merged map-side.
+    on how rows are spread; a null order comes first. With `spread`, rows are shuffled by those group
+    columns alone, so that what follows on the same columns needs no further shuffle.
     """
     rows = df.select(*(c.alias(n) for n, c in group.items()), F.struct(order.alias("o"), digest.alias("d")).alias("_v"))
+    rows = rows.repartition(*spread) if spread else rows
     return rows.groupBy(*group).agg(F.max("_v").alias("_v")).select(*group, F.col("_v.d").alias("digest"))
 
 
@@ -40,8 +43,9 @@ def diff_snapshots(rows: DataFrame, number: str, keys: Sequence[str], digest: st
     Full outer join of the two sides of each pair on the key: a key on one side only is `added` or
     `removed`, unequal digests mean `changed`. Keys must not be null (they'd never meet); an empty
     table gives no row. The join key is the whole record key, so no value of one key column can make
-    a task hot.
+    a task hot. Rows that already lie spread by `keys` aren't shuffled again.
     """
+    rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     numbers = rows.select(F.col(number).alias("_n")).distinct()
     nxt = numbers.select((F.col("_n") - 1).alias("_n"))
     pairs = numbers.join(nxt, "_n", "left_semi")

@@ -11,6 +11,7 @@ from ..session import table
 KEYS = ("rule_id", "file_path")
 #: Least share of all rows that makes a key heavy.
 HEAVY = 0.04
+FINDING_KEY = ("rule_id", "file_path", "start_line", "start_column")
 LOCATION = ("start_line", "start_column", "end_line", "end_column", "start_offset", "end_offset")
 
 
@@ -61,11 +62,11 @@ def finding_states(spark: SparkSession, d: str) -> DataFrame:
     group = {"snapshot_no": F.col("snapshot_no"), "rule_id": F.col("rule_id"), "file_path": snapshots.plain_path(F.col("file_path")), "start_line": F.col("start_line"), "start_column": F.col("start_column")}
     message = F.regexp_replace("message", r"\s+$", "")
     digest = snapshots.canonical_hash([severity(), message, *(F.col(c) for c in LOCATION[2:]), F.coalesce(F.col("fix"), F.lit(""))])
-    return snapshots.latest_rows(f, group, F.col("ingested_at"), digest)
+    return snapshots.latest_rows(f, group, F.col("ingested_at"), digest, FINDING_KEY)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.diff_snapshots(finding_states(spark, d), "snapshot_no", ["rule_id", "file_path", "start_line", "start_column"])
+    return snapshots.diff_snapshots(finding_states(spark, d), "snapshot_no", FINDING_KEY)
 
 
 def p6_change_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -33,3 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/thicket-checkpoints-{sc.applicationId}")
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what one Arrow batch holds, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
