@@ -1,4 +1,21 @@
 """Queries of the llm subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import table
+from . import encoding_repair
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.damage(table(spark, d, "documents"), "doc_id", "text", F.col("source")).select("doc_id").distinct()
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.repair(table(spark, d, "documents"), "doc_id", "text", F.col("source"))
+
+
+QUERIES = {q.__name__: q for q in (p10_found, p10_repaired)}
+SQL: dict[str, str] = {}
