@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding_repair
+from . import encoding_repair, languages
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +17,44 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.repair(table(spark, d, "documents"), "doc_id", "text", F.col("source"))
 
 
-QUERIES = {q.__name__: q for q in (p10_found, p10_repaired)}
+def language_model(spark: SparkSession, d: str) -> languages.Classifier:
+    return languages.fit(table(spark, d, "documents"), "doc_id", "text", F.col("lang"))
+
+
+#: Kinds of nodes whose text is a comment or a string.
+TEXT_KINDS = "Comment|String|TemplateLiteral"
+
+
+def node_phrases(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "uast_nodes").where(F.col("kind").rlike(TEXT_KINDS)).select("file_id", "node_id", "text", "language")
+    nodes = nodes.where(F.col("text").rlike(languages.MAYBE)).distinct()
+    return languages.find_phrases(nodes, ["file_id", "node_id"], "text", "language", language_model(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.main_language(node_phrases(spark, d), ["file_id", "node_id"]).select("file_id", "node_id", "text_lang")
+
+
+def p7_file_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of phrases of each language per file and their share of the file's bytes (null if its size is unknown)."""
+    per = node_phrases(spark, d).groupBy("file_id", "lang").agg(F.sum("n_bytes").alias("n_bytes"), F.countDistinct("node_id").alias("n_nodes"))
+    size = table(spark, d, "uast_nodes").where("node_id = 0").groupBy("file_id").agg(F.max("end_offset").alias("file_bytes"))
+    return per.join(size, "file_id", "left").withColumn("share", F.try_divide(F.col("n_bytes"), F.col("file_bytes")))
+
+
+def p7_source_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases per file and language in the whole texts of scanned files (latest state)."""
+    f = latest_files(spark, d).where("content is not null")
+    found = languages.find_phrases(f, ["file_id"], "content", "language", language_model(spark, d))
+    return found.groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def latest_files(spark: SparkSession, d: str) -> DataFrame:
+    """The latest scan of each file; ties go to the latest arrival, then the greatest content."""
+    f = table(spark, d, "file_scans").select("file_id", "scan_id", "repo", "path", "language", "content", "n_bytes", "had_error", "scanned_at", "ingested_at")
+    last = f.groupBy("file_id").agg(F.max(F.struct("scanned_at", "ingested_at", "scan_id", "content", "path", "repo", "language", "n_bytes", "had_error")).alias("s"))
+    return last.select("file_id", "s.*")
+
+
+QUERIES = {q.__name__: q for q in (p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}
