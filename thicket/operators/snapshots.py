@@ -36,24 +36,26 @@ def latest_rows(df: DataFrame, group: dict[str, Column], order: Column, digest:
     return rows.groupBy(*group).agg(F.max("_v").alias("_v")).select(*group, F.col("_v.d").alias("digest"))
 
 
-def diff_snapshots(rows: DataFrame, number: str, keys: Sequence[str], digest: str = "digest") -> DataFrame:
+def diff_snapshots(rows: DataFrame, number: str, keys: Sequence[str], digest: str = "digest", numbers: DataFrame | None = None) -> DataFrame:
     """Added, removed and changed keys for each pair of neighbouring snapshots.
 
-    `rows` has one row per snapshot number and key. A pair is formed where both n and n + 1 occur.
+    `numbers` may give the snapshot numbers (column _n) where they can be had more cheaply than from
+    `rows`. `rows` has one row per snapshot number and key. A pair is formed where both n and n + 1 occur.
     Full outer join of the two sides of each pair on the key: a key on one side only is `added` or
     `removed`, unequal digests mean `changed`. Keys must not be null (they'd never meet); an empty
     table gives no row. The join key is the whole record key, so no value of one key column can make
     a task hot. Rows that already lie spread by `keys` aren't shuffled again.
     """
     rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    numbers = rows.select(F.col(number).alias("_n")).distinct()
-    nxt = numbers.select((F.col("_n") - 1).alias("_n"))
-    pairs = numbers.join(nxt, "_n", "left_semi")
+    if numbers is None:
+        numbers = rows.select(F.col(number).alias("_n")).distinct()
+    pairs = numbers.join(numbers.select((F.col("_n") - 1).alias("_n")), "_n", "left_semi").select(F.col("_n").alias("from_no"))
 
     def side(shift: int, name: str) -> DataFrame:
-        at = rows.select((F.col(number) - shift).alias("from_no"), *keys, F.col(digest).alias(name))
-        return at.join(F.broadcast(pairs.select(F.col("_n").alias("from_no"))), "from_no", "left_semi")
+        return rows.select((F.col(number) - shift).alias("from_no"), *keys, F.col(digest).alias(name))
 
+    # what belongs to no pair is left out after the join: both sides then are one and the same shuffle
     both = side(0, "_old").join(side(1, "_new"), ["from_no", *keys], "full_outer")
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
-    return both.select("from_no", (F.col("from_no") + 1).alias("to_no"), *keys, change.alias("change")).where("change is not null")
+    changes = both.select("from_no", (F.col("from_no") + 1).alias("to_no"), *keys, change.alias("change")).where("change is not null")
+    return changes.join(pairs, "from_no", "left_semi").select("from_no", "to_no", *keys, "change")

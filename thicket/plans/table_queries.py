@@ -57,8 +57,12 @@ def p4_calls_in_functions(spark: SparkSession, d: str) -> DataFrame:
     return nested.within(nested.kind_table(nodes, "CallExpression"), nested.kind_table(nodes, "FunctionDeclaration"), "tree_id")
 
 
+def finding_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "findings").where("snapshot_no is not null and rule_id is not null and file_path is not null and start_line is not null and start_column is not null")
+
+
 def finding_states(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "findings").where("snapshot_no is not null and rule_id is not null and file_path is not null and start_line is not null and start_column is not null")
+    f = finding_rows(spark, d)
     group = {"snapshot_no": F.col("snapshot_no"), "rule_id": F.col("rule_id"), "file_path": snapshots.plain_path(F.col("file_path")), "start_line": F.col("start_line"), "start_column": F.col("start_column")}
     message = F.regexp_replace("message", r"\s+$", "")
     digest = snapshots.canonical_hash([severity(), message, *(F.col(c) for c in LOCATION[2:]), F.coalesce(F.col("fix"), F.lit(""))])
@@ -66,7 +70,8 @@ def finding_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.diff_snapshots(finding_states(spark, d), "snapshot_no", FINDING_KEY)
+    numbers = finding_rows(spark, d).select(F.col("snapshot_no").alias("_n")).distinct()
+    return snapshots.diff_snapshots(finding_states(spark, d), "snapshot_no", FINDING_KEY, numbers=numbers)
 
 
 def p6_change_counts(spark: SparkSession, d: str) -> DataFrame:
