@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import codecs
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ PAIR_BITS, CHAR_BITS, GROUPS = 18, 16, 64
 READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1257", "iso8859-2", "iso8859-15", "cp866", "koi8-r", "gb18030", "cp932")
 #: Other pairs: the true encoding, and the one in which it was wrongly read.
 OTHER = tuple((a, b) for b in ("latin-1", "cp1252") for a in ("cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "gb18030", "cp932", "euc_jp", "big5")) + (
-    ("cp1252", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp1251", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1250", "cp1251"),
+    ("cp1252", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp1251", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"),
 )
+CYRILLIC = ("cp1251", "koi8-r", "cp866")
 CHAINS = ("", "lost", *(f"utf-8>{b}" for b in READ_AS), *(f"{a}>{b}" for a, b in OTHER), "deeper")
 CHAIN_NO = {c: i for i, c in enumerate(CHAINS)}
 FIRST_OTHER = 2 + len(READ_AS)
@@ -40,8 +42,8 @@ DEPTH = 3
 #: Log odds against the identity from which a stretch counts as damaged.
 LEAST_ODDS = 2.0
 BACK_OFF = 20.0
-ROUNDS = 10
-TOKEN = r"[^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*"
+ROUNDS = 8
+TOKEN = r"(?<![^ \t\r\n])[\x00-\x08\x0B\x0C\x0E-\x1F!-\x7F]*+[^\x00-\x7F][^ \t\r\n]*"
 
 
 def single_byte(name: str) -> str | None:
@@ -95,7 +97,10 @@ def candidates(text: str) -> dict[str, tuple[int, int]]:
                     if not back.isascii():
                         after.append(back)
         level = after
+    latin = re.search("[A-Za-z]", text) is not None
     for a, b in OTHER:
+        if latin and a in CYRILLIC:
+            continue  # no word mixes the scripts
         back = undo(text, a, b)
         if back is not None and back not in found:
             found[back] = (CHAIN_NO[f"{a}>{b}"], 1)
@@ -279,8 +284,6 @@ def repair(df: DataFrame, key: str, text: str, group: Column) -> DataFrame:
 
 
 def swap_tokens(texts: pd.Series, maps: pd.Series) -> pd.Series:
-    import re
-
     token = re.compile(TOKEN)
 
     def one(t: str, pairs) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding_repair, languages
+from . import encoding_repair, languages, secrets
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,5 +56,23 @@ def latest_files(spark: SparkSession, d: str) -> DataFrame:
     return last.select("file_id", "s.*")
 
 
-QUERIES = {q.__name__: q for q in (p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
+def credential_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and captures with credentials: table_name, file_id, item_id, kinds, n_found, redacted."""
+    nodes = table(spark, d, "uast_nodes").select("file_id", "node_id", "parent_id", "sib_idx", "kind", "name", "text").distinct()
+    words = secrets.dictionary(nodes.where("kind = 'Identifier'"), F.col("text"))
+    near = nodes.select("file_id", "node_id", "text").where("text is not null").join(secrets.node_contexts(nodes), ["file_id", "node_id"], "left")
+    rows = near.select(F.lit("uast_nodes").alias("table_name"), "file_id", F.col("node_id").cast("bigint").alias("item_id"), "text", "context")
+    caps = table(spark, d, "captures").select(F.lit("captures").alias("table_name"), "file_id", F.col("capture_id").alias("item_id"), "text", F.lit(None).cast("string").alias("context")).where(F.col("text").rlike(secrets.MAYBE)).distinct()
+    return secrets.credentials(rows.unionByName(caps), ["table_name", "file_id", "item_id"], "text", "context", words)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credential_rows(spark, d).select("table_name", "file_id", "item_id").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credential_rows(spark, d).select("table_name", "file_id", "item_id", F.array_join("kinds", ",").alias("kinds"), "n_found", "redacted")
+
+
+QUERIES = {q.__name__: q for q in (p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}
