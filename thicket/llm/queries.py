@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.snapshots import plain_path
 from ..session import table
-from . import encoding_repair, languages, secrets
+from . import encoding_repair, languages, secrets, source_origin
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +18,30 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.repair(table(spark, d, "documents"), "doc_id", "text", F.col("source"))
 
 
+def file_origins(spark: SparkSession, d: str) -> DataFrame:
+    libs = table(spark, d, "library_files")
+    name = F.concat_ws(" ", "lib", "version", "file_name")
+    return source_origin.origins(latest_files(spark, d), "file_id", "path", "content", libs, name, "content")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return file_origins(spark, d).select("file_id")
+
+
+def p1_origins(spark: SparkSession, d: str) -> DataFrame:
+    return file_origins(spark, d)
+
+
+def p1_hand_written_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings in hand-written files: rows per rule, by files of the latest state."""
+    origins = file_origins(spark, d).select("file_id")
+    hand = latest_files(spark, d).join(origins, "file_id", "left_anti").select(plain_path(F.col("path")).alias("file_path"), "file_id")
+    f = table(spark, d, "findings").where("file_path is not null").select("rule_id", plain_path(F.col("file_path")).alias("file_path"))
+    # one count per rule and path first, so that a path with many findings meets its file once
+    per = f.groupBy("rule_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(hand, "file_path").groupBy("rule_id").agg(F.sum("n").alias("n_findings"), F.countDistinct("file_id").alias("n_files"))
+
+
 def language_model(spark: SparkSession, d: str) -> languages.Classifier:
     return languages.fit(table(spark, d, "documents"), "doc_id", "text", F.col("lang"))
 
@@ -74,5 +99,5 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credential_rows(spark, d).select("table_name", "file_id", "item_id", F.array_join("kinds", ",").alias("kinds"), "n_found", "redacted")
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}
