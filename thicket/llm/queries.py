@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.snapshots import plain_path
 from ..session import table
-from . import encoding_repair, languages, secrets, source_origin
+from . import encoding_repair, languages, secrets, source_origin, syntax
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,41 @@ def p1_hand_written_findings(spark: SparkSession, d: str) -> DataFrame:
     return per.join(hand, "file_path").groupBy("rule_id").agg(F.sum("n").alias("n_findings"), F.countDistinct("file_id").alias("n_files"))
 
 
+#: Messages of parse errors that are about syntax, not about size, time, depth or grammars.
+SYNTAX_MESSAGE = r"(?i)\bsyntax\s*error\b|\bunexpected\s+(token|end|eof|'|\")|\bunterminated\b|\bmissing\s+['\"]|\bparse\s*error\b|\bunbalanced\b"
+
+
+def file_faults(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, repo, language (by extension), fault ("" if valid, null if it can't be told) of each file's latest state.
+
+    A file whose text wasn't kept is judged by the messages of its scan.
+    """
+    files = latest_files(spark, d)
+    found = syntax.faults(files, "file_id", "path", "content")
+    kept = files.where("content is not null").select("file_id", "repo", "path").join(found, "file_id", "left")
+    told = table(spark, d, "parse_errors").where(F.col("message").rlike(SYNTAX_MESSAGE)).select("scan_id", plain_path(F.col("file_path")).alias("path")).distinct()
+    lost = files.where("content is null").select("file_id", "repo", "scan_id", plain_path(F.col("path")).alias("path"))
+    lost = lost.join(told.withColumn("fault", F.lit("message")), ["scan_id", "path"], "left").select("file_id", "repo", "path", F.coalesce("fault", F.lit("")).alias("fault"))
+    both = kept.select("file_id", "repo", "path", "fault").unionByName(lost)
+    return both.select("file_id", "repo", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("language"), "fault")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    files = latest_files(spark, d)
+    found = syntax.faults(files, "file_id", "path", "content").where("fault <> ''").select("file_id")
+    told = table(spark, d, "parse_errors").where(F.col("message").rlike(SYNTAX_MESSAGE)).select("scan_id", plain_path(F.col("file_path")).alias("path")).distinct()
+    lost = latest_scans(spark, d).where("not kept").select("file_id", "scan_id", plain_path(F.col("path")).alias("path"))
+    return found.unionByName(lost.join(told, ["scan_id", "path"], "left_semi").select("file_id"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Files, invalid files and their share per repository and language, beside what the scans reported."""
+    rates = file_faults(spark, d).groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("fault") != "").alias("n_invalid"))
+    stats = table(spark, d, "scan_stats").dropDuplicates(["scan_id", "repo"])
+    reported = stats.groupBy("repo").agg(F.max_by("parse_errors", F.struct("started_at", "scan_id")).alias("repo_reported"))
+    return rates.join(reported, "repo", "left").withColumn("invalid_share", F.col("n_invalid") / F.col("n_files"))
+
+
 def language_model(spark: SparkSession, d: str) -> languages.Classifier:
     return languages.fit(table(spark, d, "documents"), "doc_id", "text", F.col("lang"))
 
@@ -74,6 +109,13 @@ def p7_source_phrases(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("n_bytes").alias("n_bytes"))
 
 
+def latest_scans(spark: SparkSession, d: str) -> DataFrame:
+    """As latest_files, without the texts: file_id, scan_id, path, and whether the text was kept."""
+    f = table(spark, d, "file_scans").select("file_id", "scan_id", "path", "scanned_at", "ingested_at", F.col("content").isNotNull().alias("kept"))
+    last = f.groupBy("file_id").agg(F.max(F.struct("scanned_at", "ingested_at", "scan_id", "kept", "path")).alias("s"))
+    return last.select("file_id", "s.scan_id", "s.path", "s.kept")
+
+
 def latest_files(spark: SparkSession, d: str) -> DataFrame:
     """The latest scan of each file; ties go to the latest arrival, then the greatest content."""
     f = table(spark, d, "file_scans").select("file_id", "scan_id", "repo", "path", "language", "content", "n_bytes", "had_error", "scanned_at", "ingested_at")
@@ -99,5 +141,5 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credential_rows(spark, d).select("table_name", "file_id", "item_id", F.array_join("kinds", ",").alias("kinds"), "n_found", "redacted")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}
