@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.snapshots import plain_path
 from ..session import table
-from . import encoding_repair, languages, secrets, source_origin, syntax
+from . import encoding_repair, languages, mixing, packing, secrets, source_origin, syntax, tokens
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -141,5 +141,26 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credential_rows(spark, d).select("table_name", "file_id", "item_id", F.array_join("kinds", ",").alias("kinds"), "n_found", "redacted")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p10_found, p10_repaired)}
+def document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.sizes(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(document_sizes(spark, d), "doc_id", table(spark, d, "pack_limits"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p8_bins(spark, d), table(spark, d, "pack_limits"))
+
+
+def p9_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(document_sizes(spark, d), "doc_id", table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = document_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.draw(sizes, "doc_id", targets), sizes, targets)
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p8_bins, p8_report, p9_sample, p9_shares, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}
