@@ -60,8 +60,10 @@ class Grammar:
         kinds = ("paren", "square", "brace", "top", "suite")
         self.ready = {k: ([(re.compile(p), s) for on, p, s in self.steps if not on or k in on.split()], [(s, re.compile(p)) for s, p in self.productions.get(k, [])]) for k in kinds}
         ops = "|".join(re.escape(o) for o in sorted(self.operators, key=len, reverse=True))
-        parts = [r"^[ \t]*#(?:\\\n|[^\n])*" if self.directive else "", self.comment, self.text, self.number, self.name_re, ops, r"\n[ \t\f]*", r"\S"]
-        self.ready["tokens"] = re.compile("|".join(p for p in parts if p), re.M)
+        # most tokens are plain names, so they are tried first; blanks are skipped in one step
+        quick = r"[A-Za-z_]\w*+(?![\"'#$?!:`])"
+        parts = [quick, r"[()\[\]{},;]", r"^[ \t]*#(?:\\\n|[^\n])*" if self.directive else "", self.comment, self.text, self.number, self.name_re, ops, r"\n[ \t\f]*", r"[^\s#]" if self.directive else r"\S"]
+        self.ready["tokens"] = re.compile(r"[ \t\f]*(" + "|".join(p for p in parts if p) + ")", re.M)
         self.ready["directive"] = re.compile(self.directive) if self.directive else None
         return self
 

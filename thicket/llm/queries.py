@@ -21,7 +21,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 def file_origins(spark: SparkSession, d: str) -> DataFrame:
     libs = table(spark, d, "library_files")
     name = F.concat_ws(" ", "lib", "version", "file_name")
-    return source_origin.origins(latest_files(spark, d), "file_id", "path", "content", libs, name, "content")
+    return source_origin.origins(latest_files(spark, d, "path", "content"), "file_id", "path", "content", libs, name, "content")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_origins(spark: SparkSession, d: str) -> DataFrame:
 def p1_hand_written_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings in hand-written files: rows per rule, by files of the latest state."""
     origins = file_origins(spark, d).select("file_id")
-    hand = latest_files(spark, d).join(origins, "file_id", "left_anti").select(plain_path(F.col("path")).alias("file_path"), "file_id")
+    hand = latest_scans(spark, d).join(origins, "file_id", "left_anti").select(plain_path(F.col("path")).alias("file_path"), "file_id")
     f = table(spark, d, "findings").where("file_path is not null").select("rule_id", plain_path(F.col("file_path")).alias("file_path"))
     # one count per rule and path first, so that a path with many findings meets its file once
     per = f.groupBy("rule_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
@@ -51,7 +51,7 @@ def file_faults(spark: SparkSession, d: str) -> DataFrame:
 
     A file whose text wasn't kept is judged by the messages of its scan.
     """
-    files = latest_files(spark, d)
+    files = latest_files(spark, d, "path", "repo", "content")
     found = syntax.faults(files, "file_id", "path", "content")
     kept = files.where("content is not null").select("file_id", "repo", "path").join(found, "file_id", "left")
     told = table(spark, d, "parse_errors").where(F.col("message").rlike(SYNTAX_MESSAGE)).select("scan_id", plain_path(F.col("file_path")).alias("path")).distinct()
@@ -62,7 +62,7 @@ def file_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    files = latest_files(spark, d)
+    files = latest_files(spark, d, "path", "content")
     found = syntax.faults(files, "file_id", "path", "content").where("fault <> ''").select("file_id")
     told = table(spark, d, "parse_errors").where(F.col("message").rlike(SYNTAX_MESSAGE)).select("scan_id", plain_path(F.col("file_path")).alias("path")).distinct()
     lost = latest_scans(spark, d).where("not kept").select("file_id", "scan_id", plain_path(F.col("path")).alias("path"))
@@ -104,7 +104,7 @@ def p7_file_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_source_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases per file and language in the whole texts of scanned files (latest state)."""
-    f = latest_files(spark, d).where("content is not null")
+    f = latest_files(spark, d, "language", "content").where("content is not null")
     found = languages.find_phrases(f, ["file_id"], "content", "language", language_model(spark, d))
     return found.groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("n_bytes").alias("n_bytes"))
 
@@ -116,29 +116,11 @@ def latest_scans(spark: SparkSession, d: str) -> DataFrame:
     return last.select("file_id", "s.scan_id", "s.path", "s.kept")
 
 
-def latest_files(spark: SparkSession, d: str) -> DataFrame:
-    """The latest scan of each file; ties go to the latest arrival, then the greatest content."""
-    f = table(spark, d, "file_scans").select("file_id", "scan_id", "repo", "path", "language", "content", "n_bytes", "had_error", "scanned_at", "ingested_at")
-    last = f.groupBy("file_id").agg(F.max(F.struct("scanned_at", "ingested_at", "scan_id", "content", "path", "repo", "language", "n_bytes", "had_error")).alias("s"))
-    return last.select("file_id", "s.*")
-
-
-def credential_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes and captures with credentials: table_name, file_id, item_id, kinds, n_found, redacted."""
-    nodes = table(spark, d, "uast_nodes").select("file_id", "node_id", "parent_id", "sib_idx", "kind", "name", "text").distinct()
-    words = secrets.dictionary(nodes.where("kind = 'Identifier'"), F.col("text"))
-    near = nodes.select("file_id", "node_id", "text").where("text is not null").join(secrets.node_contexts(nodes), ["file_id", "node_id"], "left")
-    rows = near.select(F.lit("uast_nodes").alias("table_name"), "file_id", F.col("node_id").cast("bigint").alias("item_id"), "text", "context")
-    caps = table(spark, d, "captures").select(F.lit("captures").alias("table_name"), "file_id", F.col("capture_id").alias("item_id"), "text", F.lit(None).cast("string").alias("context")).where(F.col("text").rlike(secrets.MAYBE)).distinct()
-    return secrets.credentials(rows.unionByName(caps), ["table_name", "file_id", "item_id"], "text", "context", words)
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return credential_rows(spark, d).select("table_name", "file_id", "item_id").distinct()
-
-
-def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credential_rows(spark, d).select("table_name", "file_id", "item_id", F.array_join("kinds", ",").alias("kinds"), "n_found", "redacted")
+def latest_files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """file_id, scan_id and `columns` of the latest scan of each file; ties go to the latest arrival, then the greatest values."""
+    f = table(spark, d, "file_scans")
+    last = f.groupBy("file_id").agg(F.max(F.struct("scanned_at", "ingested_at", "scan_id", *columns)).alias("s"))
+    return last.select("file_id", "s.scan_id", *(f"s.{c}" for c in columns))
 
 
 def document_sizes(spark: SparkSession, d: str) -> DataFrame:

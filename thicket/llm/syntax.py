@@ -23,6 +23,7 @@ _known: dict[tuple[str, str, str], str | None] = {}
 # what can end a statement at a line's end, and what can't begin the next one
 ASI_END, ASI_GO_ON = frozenset("insp)]}KRj"), frozenset(".,?:o=a&|*<>)]};xXr-EHQy")
 GO_END = frozenset("insp)]}RK")
+BRACKET = {"(": "", "[": "", "{": "", ")": "(", "]": "[", "}": "{"}
 RUBY_GO_ON = frozenset(",([{o-*&|=a.<>?:!rwN")
 
 
@@ -49,6 +50,11 @@ def classify(token: str) -> str:
     return ILLEGAL
 
 
+def free_class(token: str) -> str:
+    """As classify, for languages in which line ends don't count."""
+    return "" if token[0] == "\n" else classify(token)
+
+
 def width(space: str) -> int:
     n = 0
     for c in space:
@@ -63,13 +69,14 @@ def lex(g: Grammar, text: str) -> str:
         text = "\n" + text.partition("\n")[2]
     table = g.ready.setdefault("table", {**g.operators, **g.keywords})
     directive, lines = g.ready["directive"], g.lines
+    tokens = g.ready["tokens"].findall(text if lines != "layout" else "\n" + text)
+    if lines == "none" and directive is None:
+        return "".join([table.get(t) or free_class(t) for t in tokens])
     out: list[str] = []
     stack: list[str] = []
     indents = [0]
-    prev, newline, space, loops = "", False, "", 0
-    if lines == "layout":
-        text = "\n" + text
-    for token in g.ready["tokens"].findall(text):
+    prev, newline, space, loops, dotted = "", False, "", 0, g.name in ("ruby", "csharp")
+    for token in tokens:
         c = table.get(token)
         if c is None:
             if token[0] == "\n":
@@ -86,9 +93,7 @@ def lex(g: Grammar, text: str) -> str:
                 continue
             if c == ILLEGAL:
                 return ILLEGAL
-        if prev == "." and c.isalpha() and c not in "insG" and g.name in ("ruby", "rust", "csharp", "python", "c"):
-            if g.name == "python":
-                return ILLEGAL
+        if prev == "." and dotted and c.isalpha() and c not in "ins":
             c = "i"
         if newline:
             newline = False
@@ -133,10 +138,10 @@ def lex(g: Grammar, text: str) -> str:
                     loops -= 1
                 else:
                     out.append("«")
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}":
-            if not stack or {")": "(", "]": "[", "}": "{"}[c] != stack.pop():
+        if c in BRACKET:
+            if c in "([{":
+                stack.append(c)
+            elif not stack or BRACKET[c] != stack.pop():
                 return ILLEGAL
         out.append(c)
         prev = c
@@ -193,7 +198,7 @@ def reduces(g: Grammar, classes: str) -> str:
 
 def pair_string(classes: str) -> str:
     """The distinct adjacent pairs of a class string, sorted, one after the other."""
-    return "".join(sorted(set(map("".join, zip(classes, classes[1:])))))
+    return "".join(sorted(a + b for a, b in set(zip(classes, classes[1:]))))
 
 
 _pairs: dict[str, set[str]] = {}
