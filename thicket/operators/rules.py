@@ -172,37 +172,47 @@ def constraint_test(c: dict, size: Column | int = 1) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def bindings(d: dict, language: str) -> list[tuple[Column, str]]:
-    """(condition, name): which metavariables the node is bound to; in `any` the first alternative that fits."""
-    out = []
+def bindings(d: dict, language: str) -> list[tuple[Column | None, str]]:
+    """(condition, name): which metavariables the node is bound to; None is always.
+
+    In `any` only the first alternative that fits binds; an alternative with relations counts as fitting.
+    """
+    out: list[tuple[Column | None, str]] = []
     if "pattern" in d and not d["pattern"].strip().startswith("("):
         p = pt.parse(d["pattern"], language)
-        out += [(pt.test(p), n) for n in pt.metavariables(p)]
-    taken = F.lit(False)
+        free = isinstance(p, (pt.Meta, pt.Wild)) and not getattr(p, "kind", None)
+        out += [(None if free else pt.test(p), n) for n in pt.metavariables(p)]
+    taken: Column | None = F.lit(False)
     for x in d.get("any", ()):
-        here = simple_test(x, language) if simple(x) else F.lit(True)
-        out += [(here & ~taken & c, n) for c, n in bindings(x, language)]
-        taken = taken | here
+        if taken is None:
+            break
+        free = set(x) == {"pattern"} and isinstance(pt.parse(x["pattern"], language), (pt.Meta, pt.Wild))
+        here = None if free or not simple(x) else simple_test(x, language)
+        for c, n in bindings(x, language):
+            parts = [y for y in (here, ~taken, c) if y is not None]
+            cond = parts[0]
+            for y in parts[1:]:
+                cond = cond & y
+            out.append((None if x is d["any"][0] and here is None and c is None else cond, n))
+        taken = None if here is None else taken | here
     for x in d.get("all", ()):
         out += bindings(x, language)
     return out
 
 
-def captures_of(rule: Rule) -> Column:
-    """Map from metavariable to the node's text, else name, else ""."""
-    value = F.coalesce("text", "name", F.lit(""))
-    entries = [F.when(c, F.struct(F.lit(n).alias("key"), value.alias("value"))) for c, n in bindings(rule.rule, rule.language)]
-    empty = F.create_map().cast("map<string,string>")
-    if not entries:
-        return empty
-    return F.map_from_entries(F.array_distinct(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+def bound_names(rule: Rule) -> Column:
+    """Names of the metavariables that are bound to the node, as an array."""
+    entries = bindings(rule.rule, rule.language)
+    if all(c is None for c, _ in entries):
+        return F.array(*(F.lit(n) for n in dict.fromkeys(n for _, n in entries))).cast("array<string>")
+    return F.array_distinct(F.array_compact(F.array(*(F.lit(n) if c is None else F.when(c, F.lit(n)) for c, n in entries))))
 
 
 def applies(rule: Rule) -> Column:
-    """Whether a rule is for the language of a node."""
+    """Whether a rule is for the language of a node (in the column _lang, plainly spelled)."""
     lang = rule.language.strip().lower()
     lang = schema.ALIASES.get(lang, lang)
-    return F.lit(True) if lang in schema.UNIVERSAL else schema.plain_language(F.col("language")) == lang
+    return F.lit(True) if lang in schema.UNIVERSAL else F.col("_lang") == lang
 
 
 def path_test(rule: Rule) -> Column:
@@ -216,13 +226,7 @@ def path_test(rule: Rule) -> Column:
 
 
 FINDING = ("rule_id", "severity", "severity_level", "message", *schema.SPAN, "fix", "captures")
-
-
-def finding_columns(rule: Rule) -> list[Column]:
-    caps = captures_of(rule)
-    fix = F.lit(None).cast("string") if rule.fix is None else tx.interpolate_first(F.lit(rule.fix), caps, F.coalesce("text", "name", F.lit("")))
-    level = {"hint": 0, "info": 1, "warning": 2, "error": 3}[rule.severity]
-    return [F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(level).alias("severity_level"), tx.interpolate(F.lit(rule.message), caps).alias("message"), fix.alias("fix"), caps.alias("captures")]
+TEMPLATES = "_rule int, rule_id string, severity string, severity_level int, _message string, _fix string"
 
 
 def constrained(rule: Rule) -> Column:
@@ -314,16 +318,21 @@ def scan(nodes: DataFrame, rules: Iterable[Rule], files: DataFrame | None = None
         nodes = with_facts(cut(nodes), rules)
     if any(r.files or r.ignores for r in rules):
         nodes = nodes.join(files.select("file_id", "path"), "file_id", "left")
-    keep = [*KEY, *schema.SPAN]
-    if not rules:
-        empty = [F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit(0).alias("severity_level"), F.lit("").alias("message"), F.lit(None).cast("string").alias("fix"), F.create_map().cast("map<string,string>").alias("captures")]
-        return nodes.limit(0).select(*keep, *empty).select(*KEY, *FINDING)
-    hits = []
-    for r in rules:
-        where = applies(r) & path_test(r) & full_test(r.rule, r.language) & constrained(r)
-        hits.append(F.when(where, F.struct(*finding_columns(r))))
-    found = nodes.select(*keep, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_f"))
-    return found.select(*keep, "_f.*").select(*KEY, *FINDING)
+    nodes = nodes.withColumn("_lang", schema.plain_language(F.col("language")))
+    # one number and the bound names per hit; the templates of the rules come by a broadcast of the rules
+    hits = [F.when(applies(r) & path_test(r) & full_test(r.rule, r.language) & constrained(r), F.struct(F.lit(i).alias("_rule"), bound_names(r).alias("_bound"))) for i, r in enumerate(rules)]
+    none = F.array().cast("array<struct<_rule:int,_bound:array<string>>>")
+    value = F.coalesce("text", "name", F.lit(""))
+    found = nodes.select(*KEY, *schema.SPAN, value.alias("_value"), F.explode(F.array_compact(F.array(*hits)) if hits else none).alias("_h"))
+    found = found.select(*KEY, *schema.SPAN, "_value", "_h.*")
+    rows = [(i, r.id, r.severity, tx.SEVERITIES[r.severity], r.message, r.fix) for i, r in enumerate(rules)]
+    found = found.join(F.broadcast(nodes.sparkSession.createDataFrame(rows, TEMPLATES)), "_rule")
+    captures = F.map_from_arrays("_bound", F.array_repeat(F.col("_value"), F.size("_bound")))
+    found = found.withColumn("captures", captures)
+    has_names = lambda c: F.col(c).rlike(f"[{tx.PREFIXES}]")
+    message = F.when(has_names("_message"), tx.interpolate(F.col("_message"), F.col("captures"))).otherwise(F.col("_message"))
+    fix = F.when(has_names("_fix"), tx.interpolate_first(F.col("_fix"), F.col("captures"), F.col("_value"))).otherwise(F.col("_fix"))
+    return found.withColumn("message", message).withColumn("fix", fix).select(*KEY, *FINDING)
 
 
 def span_dedupe(nodes: DataFrame, alternatives: list[Column]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +46,53 @@ def ignored(path: Column, patterns: Iterable[tuple[str, bool]]) -> Column:
     return out
 
 
+def local_files(spark: SparkSession, root: str, max_size: int) -> DataFrame:
+    """path (relative), length, content of all files below a folder that driver and executors see."""
+    base = os.path.abspath(root)
+    found = []
+    for folder, dirs, names in os.walk(base):
+        dirs[:] = [d for d in dirs if d != ".git"]
+        for n in names:
+            full = os.path.join(folder, n)
+            if os.path.isfile(full):
+                found.append((os.path.relpath(full, base).replace(os.sep, "/"), os.path.getsize(full)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for p, n in zip(b["path"], b["length"]):
+                try:
+                    texts.append(Path(base, p).read_bytes().decode("utf-8", "replace") if n <= max_size else None)
+                except OSError:
+                    texts.append(None)
+            yield b.assign(content=texts)
+
+    listed = spark.createDataFrame(found, "path string, length bigint")
+    parts = max(1, min(len(found), sum(n for _, n in found) // (8 << 20) + spark.sparkContext.defaultParallelism))
+    return listed.repartition(parts, "path").mapInPandas(read, "path string, length bigint, content string")
+
+
 def read_files(spark: SparkSession, root: str, *, hidden: bool = False, no_ignore: bool = False, max_depth: int = 0, max_size: int = MAX_FILE_SIZE, languages: Iterable[str] | None = None, glob: str | None = None, hidden_name_only: bool = False) -> DataFrame:
     """file_id, path, language, content, n_bytes of the files below `root`.
 
     Hidden files and folders are left out unless asked for (the library form looks at the file's name
     only); ignore files are honoured; depth 0 means any; larger files than `max_size` have null
-    content. `languages` keeps those of the given languages. The listing and reading are Spark's;
-    only names reach the driver, for ignore files. Files that aren't UTF-8 are decoded with
-    replacement characters.
+    content. `languages` keeps those of the given languages. A folder that the driver can open is
+    listed there (names and sizes only) and read by the executors, which must see the same folder;
+    any other root goes through Spark's own reader, which passes over names that begin with `_` or `.`
+    and empty files. Texts that aren't UTF-8 are decoded with replacement characters.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob and "/" not in glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
-    base = os.path.abspath(root)
-    full = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    rel = F.when(full.startswith(base + "/"), F.substring(full, len(base) + 2, 1 << 20)).otherwise(F.substring_index(full, "/", -1))
-    rows = raw.select(rel.alias("path"), "length", "content")
+    if os.path.isdir(root):
+        rows = local_files(spark, root, max_size)
+        if glob and "/" not in glob:
+            rows = rows.where(F.substring_index("path", "/", -1).rlike(glob_regex(glob)))
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if glob and "/" not in glob:
+            reader = reader.option("pathGlobFilter", glob)
+        base = root.rstrip("/") + "/"
+        rel = F.when(F.col("path").contains(base), F.substring_index("path", base, -1)).otherwise(F.substring_index("path", "/", -1))
+        rows = reader.load(root).select(rel.alias("path"), "length", F.when(F.col("length") <= max_size, F.decode("content", "utf-8")).alias("content"))
     if not hidden:
         rows = rows.where(~F.col("path").rlike(r"(^|/)\.[^/]+$" if hidden_name_only else r"(^|/)\."))
     if max_depth:
@@ -75,8 +106,7 @@ def read_files(spark: SparkSession, root: str, *, hidden: bool = False, no_ignor
     lang = schema.language_of_path(F.col("path"))
     if languages is not None:
         rows = rows.where(lang.isin(*(schema.ALIASES.get(x.lower(), x.lower()) for x in languages)))
-    content = F.when(F.col("length") <= max_size, F.decode("content", "utf-8"))
-    return rows.select(F.xxhash64("path").alias("file_id"), "path", lang.alias("language"), content.alias("content"), F.col("length").alias("n_bytes"))
+    return rows.select(F.xxhash64("path").alias("file_id"), "path", lang.alias("language"), "content", F.col("length").alias("n_bytes"))
 
 
 def expand(spec: str, extensions: Iterable[str] = ()) -> list[str]:

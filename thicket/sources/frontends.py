@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -241,69 +242,128 @@ def front_end_of(language: str | None) -> tuple[str, FrontEnd]:
     return ("own", REGISTRY[lang]) if lang in REGISTRY else ("lexical", lexical)
 
 
-def flatten(root: dict, text: str, language: str, anonymous: bool = False, all_text: bool = True, max_depth: int = 0) -> list[tuple]:
-    """Rows of a nested tree in pre-order: numbers, span in bytes, kind, text and properties."""
-    offsets = [0]
-    for c in text:
-        offsets.append(offsets[-1] + len(c.encode("utf-8", "replace")))
-    breaks = [-1] + [i for i, c in enumerate(text) if c == "\n"]
-    import bisect
+_kinds: dict[tuple[str, str], str] = {}
+
+
+def cached_kind(native: str, language: str) -> str:
+    key = (native, language)
+    if key not in _kinds:
+        _kinds[key] = schema.kind_of(native, language)
+    return _kinds[key]
+
 
-    def place(at: int) -> tuple[int, int]:
-        i = bisect.bisect_left(breaks, at) - 1
-        return i + 1, offsets[at] - offsets[breaks[i] + 1]
+def byte_offsets(text: str):
+    """Byte offset of every character, and of the end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    import numpy as np
 
-    rows: list[list] = []
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    size = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+    return [0, *np.cumsum(size).tolist()]
+
+
+def flatten(root: dict, text: str, language: str, out: dict[str, list], anonymous: bool = False, all_text: bool = True, max_depth: int = 0) -> int:
+    """Appends the nodes of a nested tree in pre-order to the columns in `out`; returns how many.
+
+    Numbers, spans in bytes, kinds, texts and properties. A node at the depth limit is Unknown and
+    says that it is cut.
+    """
+    import bisect
+
+    offsets = byte_offsets(text)
+    breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
+    starts = [offsets[b + 1] for b in breaks]
+    put = {c: out[c].append for c in COLUMNS}
+    first = len(out["node_id"])
     stack = [(root, None, 0, 0)]
+    n_rows = 0
     while stack:
         n, parent, sib, depth = stack.pop()
         if n is None:
-            rows[parent][5] = len(rows) - 1
+            out["last_id"][first + parent] = n_rows - 1
             continue
-        no = len(rows)
-        kids = [k for k in n["kids"] if anonymous or k.get("named", True)]
-        cut = max_depth and depth >= max_depth
-        (sl, sc), (el, ec) = place(n["start"]), place(n["end"])
-        kind = "Unknown" if cut else schema.kind_of(n["type"], language)
-        props = dict(n.get("props") or {})
-        if cut:
-            props |= {"truncated": "true", "childCount": str(len(kids))}
-            kids = []
-        body = text[n["start"] : n["end"]]
-        own = n.get("text") if n.get("text") is not None else body if all_text or not kids else None
-        rows.append([None, no, parent, sib, depth, no, language, kind, n["type"], n.get("named", True), n.get("name"), own or None, n.get("field"), sl, sc, el, ec, offsets[n["start"]], offsets[n["end"]], len(kids), props])
-        stack.append((None, no, 0, 0))
-        stack.extend((k, no, i, depth + 1) for i, k in reversed(list(enumerate(kids))))
-    return rows
+        no = n_rows
+        n_rows += 1
+        kids = n["kids"] if anonymous else [k for k in n["kids"] if k.get("named", True)]
+        props = n.get("props")
+        kind = cached_kind(n["type"], language)
+        if max_depth and depth >= max_depth:
+            kind, props, kids = "Unknown", {**(props or {}), "truncated": "true", "childCount": str(len(kids))}, []
+        s, e = n["start"], n["end"]
+        i, j = bisect.bisect_left(breaks, s) - 1, bisect.bisect_left(breaks, e) - 1
+        own = n.get("text")
+        if own is None and (all_text or not kids):
+            own = text[s:e] or None
+        put["node_id"](no)
+        put["parent_id"](parent)
+        put["sib_idx"](sib)
+        put["depth"](depth)
+        put["last_id"](no)
+        put["kind"](kind)
+        put["native_type"](n["type"])
+        put["is_named"](n.get("named", True))
+        put["name"](n.get("name"))
+        put["text"](own)
+        put["field"](n.get("field"))
+        put["start_line"](i + 1)
+        put["start_column"](offsets[s] - starts[i])
+        put["end_line"](j + 1)
+        put["end_column"](offsets[e] - starts[j])
+        put["start_offset"](offsets[s])
+        put["end_offset"](offsets[e])
+        put["child_count"](len(kids))
+        put["properties"](list(props.items()) if props else [])
+        if kids:
+            stack.append((None, no, 0, 0))
+            stack.extend((kids[k], no, k, depth + 1) for k in range(len(kids) - 1, -1, -1))
+    return n_rows
+
+
+COLUMNS = [c for c in schema.NODES.names if c not in ("file_id", "language")]
+ARROW = {"LongType": pa.int64(), "IntegerType": pa.int32(), "StringType": pa.string(), "BooleanType": pa.bool_(), "MapType": pa.map_(pa.string(), pa.string())}
+BATCH = 20_000
 
 
 def parse(files: DataFrame, anonymous: bool = False, all_text: bool = True, max_depth: int = 0) -> DataFrame:
     """Node rows (schema.NODES and front_end) of files with file_id, language, content.
 
     A text that its front end can't read gets the lexical tree and has a row in `parse_errors`. Null
-    and empty texts have no nodes.
+    and empty texts have no nodes. Rows leave in batches, not by file.
     """
     ship(files.sparkSession)
     small_batches(files.sparkSession, 200)
-    out = T.StructType([*schema.NODES.fields, T.StructField("front_end", T.StringType())])
+    out_schema = T.StructType([*schema.NODES.fields, T.StructField("front_end", T.StringType())])
+    arrow = pa.schema([(f.name, ARROW[type(f.dataType).__name__]) for f in out_schema.fields])
     registry = dict(REGISTRY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         REGISTRY.update(registry)
+        cols: dict[str, list] = {c: [] for c in arrow.names}
+
+        def flush() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+            for c in cols.values():
+                c.clear()
+            return b
+
         for b in batches:
-            for f, lang, text in b.itertuples(index=False, name=None):
+            for f, lang, text in zip(*(c.to_pylist() for c in b.columns)):
                 how, fn = front_end_of(lang)
                 try:
                     root = fn(text)
                 except (ParseFailure, RecursionError):
                     how, root = "lexical", lexical(text)
-                rows = flatten(root, text, lang or "", anonymous, all_text, max_depth)
-                for r in rows:
-                    r[0] = f
-                for i in range(0, len(rows), 5000):
-                    yield pd.DataFrame([(*r, how) for r in rows[i : i + 5000]], columns=out.names).astype({"parent_id": "Int32"})
-
-    return files.where("content <> ''").select("file_id", "language", "content").mapInPandas(run, out)
+                n = flatten(root, text, lang or "", cols, anonymous, all_text, max_depth)
+                cols["file_id"].extend([f] * n)
+                cols["language"].extend([lang] * n)
+                cols["front_end"].extend([how] * n)
+                if len(cols["file_id"]) >= BATCH:
+                    yield flush()
+        if cols["file_id"]:
+            yield flush()
+
+    return files.where("content <> ''").select("file_id", "language", "content").mapInArrow(run, out_schema)
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

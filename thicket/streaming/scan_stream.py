@@ -17,7 +17,8 @@ from ..sources.rules import Rule
 
 def read_stream(spark: SparkSession, folder: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
     """file_id, path, language, content, seen_at of the files that appear in a folder."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(folder)
+    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
+    raw = raw.schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
     return raw.select(F.xxhash64("path").alias("file_id"), "path", schema.language_of_path(F.col("path")).alias("language"), F.decode("content", "utf-8").alias("content"), F.col("modificationTime").alias("seen_at"))
 
 
@@ -68,5 +69,5 @@ def latest_state(scans: DataFrame) -> DataFrame:
         state.update((n, at, matches))
         yield pd.DataFrame({"file_id": [key[0]], "n_scans": [n], "last_matches": [matches]})
 
-    rows = scans.select("file_id", F.unix_micros("scanned_at").alias("at"), F.col("n_matches").cast("bigint").alias("n_matches")).where("at is not null and n_matches is not null")
+    rows = scans.select("file_id", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"), F.col("n_matches").cast("bigint").alias("n_matches")).where("at is not null and n_matches is not null")
     return rows.groupBy("file_id").applyInPandasWithState(update, LATEST, "n bigint, at bigint, matches bigint", "update", "NoTimeout")
