@@ -111,7 +111,7 @@ def java() -> Grammar:
     ]
     simple = any_of(r"δ(?:=(?:ε|B))?(?:,ε(?:=B)?)*", r"ε(?:,ε)*", "Rε?", "Kε?", r"Tε(?::ε)?")
     stmt = rf"(?:[ηEDYQ]|C(?:ε(?:,ε)*[:r]|λ)|m[:r]|ε:)*(?:[Bβ]|;|{simple};|φ(?:[Bβ]|;|mε;)|mβ|ι)"
-    brace = [("B", f"(?:{stmt})*"), ("B", some("(?:ε|B)")), ("B", some("m?ε[Bβ]?") + f"(?:;(?:{stmt})*)?")]
+    brace = [("B", rf"(?:{stmt})*(?:Cε:|m:)*"), ("B", some("(?:ε|B)")), ("B", some("m?ε[Bβ]?") + f"(?:;(?:{stmt})*)?")]
     paren = [("G", some("ε")), ("Π", some("δ")), ("Η", r"(?:δ(?:=(?:ε|B))?(?:,ε)*|ε(?:,ε)*)?;ε?;(?:ε(?:,ε)*)?|δ:ε"), ("Τ", "τ|ε(?:&ε)+"), ("Π", r"(?:δ=ε|ε)(?:;(?:δ=ε|ε))*;?"), ("G", some("(?:ε=)?(?:ε|B|m)"))]
     return Grammar("java", kw, {**C_OPERATORS, "->": "r", "@": "@"}, C_COMMENT, r"\"\"\"[\s\S]*?\"\"\"|" + QUOTED, "none", steps, {"paren": paren, "square": [("A", "ε?")], "brace": brace, "top": [("", r"(?:ι|;|φ[Bβ])*")]})
 
@@ -132,7 +132,7 @@ def csharp() -> Grammar:
         ("top brace", rf"(?:(?<=[;Bβη:EDYQιM])|^)m*{typ}i(?=[=;,])", "δ"),
         ("paren", rf"(?:(?<=[,;])|^)m*{typ}i(?=[,=;]|$)", "δ"), ("paren", rf"^m*{typ}i(?=X)", "δ"), ("paren", rf"(?:(?<=,)|^)m(?=[i(])", "!"), ("paren", rf"^(?:t(?:\?|A)*|i(?:\.i)*{gen}(?:\?|A)*|i(?:\.i)*(?:\?|A)+)$", "τ"),
         ("", r"m?(?:i|G|Π)r(?=[^,;])", "λ"),
-        ("", r"λ*" + expression(any_of("i", "n", "s", "G", "ν", "t(?=\\.)", "ZG?(?!:)"), rf"\.i(?:{gen}(?=G))?|\?\.i|\?(?=A)|G|A|p|!(?=[.;,)]|$)|SB", r"[!\-p]|[GΤ](?=[insGνλΤ!])", r"λ*(?:o|\*|&|-|\||<|>{1,3}|=|a|x)", "") + "|λB", "ε"),
+        ("", r"λ*" + expression(any_of("i", "n", "s", "G", "ν", "t(?=\\.)", "ZG?(?!:)"), rf"\.i(?:{gen}(?=G))?|\?\.i|\?(?=A)|G|A|p|!(?=[.;,)]|$)|SB|x!?(?:t\??A*|i(?:\.i)*\??)i?(?=[^.GA=i]|$)", r"[!\-p]|[GΤ](?=[insGνλΤ!])", r"λ*(?:o|\*|&|-|\||<|>{1,3}|=|a|x)", "") + "|λB", "ε"),
         ("", r"λε|λ[Bβ]|Tε(?=$)", "ε"), TERNARY, ("", r"ε(?:=ε)+", "ε"),
     ]
     simple = any_of(r"M?δ(?:=(?:ε|B))?(?:,ε)*", r"ε(?:,ε)*", "Rε?", "K(?:ε|Cε|Z)?", "Tε?")
@@ -147,13 +147,13 @@ def c_language() -> Grammar:
     base = r"m*(?:t+(?:m|t)*|Li?B|Li|i)m*"
     ptr = r"(?:\*m*)*"
     steps = [
-        ("", r"z(?:G|Τ|i)", "n"),
+        ("", r"z(?:G|Τ|Π|i)", "n"),
         ("top brace", rf"{START}{base}{ptr}i[GΠ](?=[B;])", "φ"),
         ("top brace", r"IG|FΗ|WG|SG(?=B)", "η"),
         ("top brace", r"(?:(?<=[;Bβη:EDφ])|^)B", "β"),
         ("top brace", rf"(?:(?<=[;Bβη:ED])|^){base}{ptr}(?:i|Τ|G(?=[GΠ]))(?:A|Π|G)*(?=[=;,:])", "δ"), ("top brace", r"(?:(?<=[;Bβη])|^)m*L(?:i[Bβ]?|[Bβ])(?=;)", "δ"),
         ("paren", rf"(?:(?<=[,;])|^)m*(?:t+(?:m|t)*|Li|i)m*{ptr}(?:i|[GΤ](?=[GΠ]))(?:A|Π|G)*(?=[,=;]|$)", "δ"), ("paren", rf"^m*(?:t+(?:m|t)*|Li|i(?=\*))m*{ptr}$|^\*+i?(?:A|G)*$|(?:(?<=,)|^)m*t+m*{ptr}A*(?=,|$)", "τ"),
-        ("", expression(any_of("i", "n", "s+", "G"), r"\.i|G|A|p", r"[!\-*&p]|[GΤ](?=[insGΤ!*&\-B])", r"(?:o|\*|&|-|\||<|>{1,2}|=|a)", "") + "|ΤB", "ε"),
+        ("", expression(any_of("i", "n", "s+", "G"), r"\.i|G|A|p", r"[!\-*&p]|[GΤΠ](?=[insGΤΠ!*&\-B])", r"(?:o|\*|&|-|\||<|>{1,2}|=|a)", "") + "|ΤB", "ε"),
         TERNARY, ("", r"ε(?:=ε)+", "ε"),
     ]
     simple = any_of(r"δ(?::ε)?(?:=(?:ε|B))?(?:,ε(?:=B)?)*", r"ε(?:,ε)*", "R(?:ε|B)?", "Kε?")
@@ -201,7 +201,7 @@ def script(typed: bool) -> Grammar:
     square = [("A", r",*(?:ε(?:,+ε)*,*)?"), *([("A", r"π|ε:.*")] if typed else [])]
     brace = [("B", body), ("B", obj), ("Ν", some(r"[εZ](?:εε|yε)?")), ("Φ", cls)]
     if typed:
-        brace += [("Φ", rf"(?:κ[;,N]*|m*ε\??[GΠ]?:[ε|&Bλ<>=,]*[;,N]+|ε[;,N]+)*(?:κ|m*ε\??[GΠ]?:[ε|&Bλ<>=,]*)?")]
+        brace += [("Φ", rf"(?:κ[;,N]*|m*ε\??[GΠ]?:[ε|&BAλ<>=,!]*[;,N]+|ε[;,N]+)*(?:κ|m*ε\??[GΠ]?:[ε|&BAλ<>=,!]*)?")]
         paren += [("Π", r"(?:ε(?::ε)?|π)(?:,(?:ε(?::ε)?|π))*")]
     ops = {**C_OPERATORS, "=>": "r", **words("=== !== ?? **", "o"), "?.": ".", **words("??= ||= &&= **= >>>=", "a"), "@": "@"}
     ops.pop("::")
@@ -221,7 +221,7 @@ def golang() -> Grammar:
         ("", r"(?:(?<=[=(,:;w!&*oRr{<>-])|^)(?:mA|A)(?:\*|A|mA|h)*(?:i(?:\.i)?|L[BΦ])(?=[BG])", "i"), ("", r"(?<=G)mA(?:\*|A|mA)*i(?:\.i)?(?=,|$)", "i"), ("paren", rf"^(?:mA|A|h)+{one}(?=,|$)", "i"),
         ("paren", rf"(?:(?<=,)|^)(?:i(?:,i)*)?(?:i|(?<=i))(?:(?:\*|A|mA|h|v|r)+{one}|i(?:\.i)?|f[GΠ]{typ}?|L[BΦ])(?=,|$)", "π"), ("paren", rf"(?:(?<=,)|^)(?:\*|A|mA|h)+{one}(?=,|$)", "π"),
         ("top brace", r"([IFS](?:[^BIFS]*))B", r"\1β"), ("top brace", r"(?<=[Eφ])B|(?:(?<=;)|^)B", "β"),
-        ("", expression(any_of("i", "n", "s", "G", "ν"), r"\.i|\.G|\.Ι|G|A|B", r"[!\-*&r^]", r"(?:o|\*|&|-|\||<|>{1,2})", ""), "ε"),
+        ("", expression(any_of("i", "n", "s", "G", "ν"), r"\.i|\.G|\.Ι|G|A|B", r"[!\-*&r^]", r"(?:o|\*|&|-|\||<|>{1,2}|r)", ""), "ε"),
     ]
     es = r"ε(?:,ε)*"
     simple = any_of(rf"{es}(?:(?:=|a|w)(?:X?{es}))?", "εp", "εrε", "Xε")
