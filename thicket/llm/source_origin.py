@@ -48,6 +48,8 @@ COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#(?!include|define|if|pragma|\[)|--|
 DEFAULTS = {"max_line": 400, "mean_line": 110, "white": 0.12, "letters": 0.12, "run": 200}
 TUNED = {"js": {"max_line": 300}, "ts": {"max_line": 300}, "css": {"max_line": 300}, "c": {"letters": 0.15}, "java": {"letters": 0.15}, "cs": {"letters": 0.15}, "go": {"letters": 0.14}, "rs": {"letters": 0.14}}
 LEAST_SIZE = 120
+#: Share of lines that repeat others but for numbers, from which a file of so many lines was made by a tool.
+REPEATED, LEAST_LINES = 0.75, 12
 LITERALS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\b|-?\b[0-9][0-9_.eE+]*[a-zA-Z]?\b"
 #: Word shingles: words of a shingle, least similarity, least number of shingles of a file that can be compared.
 SHINGLE, SIMILAR, LEAST_SHINGLES = 5, 0.8, 8
@@ -77,23 +79,28 @@ def layout(text: Column, ext: Column) -> dict[str, Column]:
     lines = F.split(text, r"\r\n|\r|\n")
     bare = F.regexp_replace(text, LITERALS, "")
     size = F.greatest(F.length(text), F.lit(1))
+    # lines that differ in numbers only are alike; brackets alone don't count as lines
+    alike = F.filter(F.split(F.regexp_replace(text, "[0-9]+", "0"), r"\s*(?:\r\n|\r|\n)\s*"), lambda x: F.length(x) > 4)
     return {
         "n_chars": F.length(text),
         "max_line": F.array_max(F.transform(F.split(bare, r"\r\n|\r|\n"), F.length)),
         "mean_line": F.length(text) / F.size(lines),
         "white": 1 - F.length(F.regexp_replace(text, r"\s+", "")) / size,
         "letters": F.length(F.regexp_replace(bare, r"[^\p{L}]+", "")) / F.greatest(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(1)),
+        "n_lines": F.size(alike),
+        "repeated": 1 - F.size(F.array_distinct(alike)) / F.greatest(F.size(alike), F.lit(1)),
         "run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/=]{100,}|(?:\\x[0-9a-fA-F]{2}){30,})"), F.lit(1)), F.length)), F.lit(0)),
     }
 
 
 def layout_origin(ext: Column) -> Column:
-    """packed or data by the statistics in the columns n_chars, max_line, mean_line, white, letters, run."""
+    """packed, data or generated by the statistics in the columns that `layout` names."""
     t = {n: threshold(n, ext) for n in DEFAULTS}
     big = F.col("n_chars") >= LEAST_SIZE
     packed = big & (F.col("max_line") >= t["max_line"]) & (F.col("mean_line") >= t["mean_line"]) & (F.col("white") <= t["white"]) & ext.isin("js", "ts", "mjs", "css", "jsx", "tsx", "py", "java", "cs", "go", "rs", "c", "rb", "h", "cpp", "php") & (F.col("letters") > 0)
     data = big & ((F.col("letters") <= t["letters"]) | ((F.col("run") >= t["run"]) & (F.col("run") >= 0.5 * F.col("n_chars"))))
-    return F.when(data, "data").when(packed, "packed")
+    stubs = (F.col("n_lines") >= LEAST_LINES) & (F.col("repeated") >= REPEATED)
+    return F.when(data, "data").when(packed, "packed").when(stubs, "generated")
 
 
 def notice(text: str) -> bool:
