@@ -10,7 +10,8 @@ from thicket.llm import source_origin as so
 from thicket.llm import syntax
 from thicket.llm.grammars import GRAMMARS, permissible_pairs
 
-LIB = "\n".join(f"def run_{i}(first, second):\n    value_{i} = first + second * {i}\n    return value_{i}" for i in range(12))
+NAMES = "red blue green grey pink gold teal lime navy plum rust sand".split()
+LIB = "\n".join(f"def run_{w}(first, second):\n    value_{w} = first + second * {i}\n    return value_{w}" for i, w in enumerate(NAMES))
 
 
 def origin_of(spark, rows, libs=(("lib", LIB),)):
