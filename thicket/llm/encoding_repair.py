@@ -267,7 +267,7 @@ def damage(df: DataFrame, key: str, text: str, group: Column) -> DataFrame:
     Null and empty texts have none. The same text under several keys gives the same stretches.
     """
     ship(df.sparkSession)
-    rows = tokens_of(df, key, text, group)
+    rows = cut(tokens_of(df, key, text, group))
     distinct = cut(distinct_tokens(rows))
     bad = damaged_tokens(distinct, fit(distinct))
     return rows.distinct().join(bad, ["token", "group"]).select(key, "token", "restored", "chain", "odds")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small_batches
+from ..session import cut, ship, small_batches
 from .grammars import GRAMMARS, Grammar, permissible_pairs
 
 INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
@@ -243,7 +243,8 @@ def faults(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     Equal sets of pairs are looked up once: the distinct sets are split into pairs and anti-joined
     against the permissible pairs of the grammar, which are few and broadcast.
     """
-    rows = lexed(files, key, path, text)
+    # kept, as both the sets and the verdicts read it: lexing is the expensive part
+    rows = cut(lexed(files, key, path, text))
     sets = rows.select("ext", "pairs").where("pairs <> ''").distinct()
     split = sets.select("ext", "pairs", F.explode(F.regexp_extract_all("pairs", F.lit("(?s).."), F.lit(0))).alias("pair"))
     wrong = split.join(F.broadcast(pair_table(files.sparkSession)), ["ext", "pair"], "left_anti").select("ext", "pairs").distinct().withColumn("_wrong", F.lit(True))
