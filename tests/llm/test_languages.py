@@ -39,7 +39,7 @@ def test_chunked_and_whole_texts_agree(spark):
 
 def test_phrases():
     p = lg.phrases
-    assert p(" The parser keeps it `f()` and drops the rest. ") == ["The parser keeps it", "and drops the rest"]
+    assert p(" The parser keeps it `f()` and drops the rest. ") == ["The parser keeps it   and drops the rest"]
     assert p("-*- coding: utf-8 -*-") == [] and p("noqa: E501") == [] and p("https://a.b/c d") == [] and p("not found") == []
     assert p("gr\\u00f6\\u00dfte Zahl der Welt") == ["größte Zahl der Welt"]
     assert p("解析器会保留下一行文本。x") == ["解析器会保留下一行文本"] and p("解析器") == []

@@ -30,13 +30,16 @@ ORDERS = (1, 2, 3, 4)
 #: Bound of the training sample: documents taken, and phrases per class.
 SAMPLE_DOCUMENTS, SAMPLE_PHRASES = 2000, 600
 LEAST_WORDS, LEAST_CJK = 3, 6
+#: Weight of the class `none` against the languages: a name at the end doesn't make a sentence code.
+NONE_WEIGHT = 0.4
 
 WORD = r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*"
 CJK = r"぀-ヿ㐀-䶿一-鿿々〆ー"
 WORDS = re.compile(rf"(?<![^\s(\[\"'«„“‘*#>¿¡—–])(?:{WORD}[,.;:!?…)\]»”\"’]*\s+(?:(?:[*#]+|//+)\s+)?(?:[—–«„“(¿¡-]\s?)?){{{LEAST_WORDS - 1},}}{WORD}(?=[,.;:!?…)\]»”\"'’\s*<{{%]|\Z)")
 SIGNS = re.compile(rf"[{CJK}](?:[{CJK}。、，．！？：；「」『』（）…・\s]|[A-Za-z0-9])*[{CJK}]")
 ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\U([0-9a-fA-F]{8})|\\u\{([0-9a-fA-F]{1,6})\}")
-CODE_SPAN = re.compile(r"`[^`\n]*`")
+#: Code, formats and markup inside a sentence; the words around them stay one phrase.
+CODE_SPAN = re.compile(r"`[^`\n]*`|\$\{[^}\n]*\}|\{[\w.:]*\}|%[-+0-9.]*[sdifgxuc]\b|</?[A-Za-z][\w]*/?>")
 
 
 def unescape(text: str) -> str:
@@ -53,7 +56,7 @@ def phrases(text: str) -> list[str]:
     """Candidate phrases of a comment's or string's inside."""
     text = unescape(text).replace("\\n", " \n").replace("\\t", " ")
     out = []
-    rest = CODE_SPAN.sub(" ` ", text)
+    rest = CODE_SPAN.sub(" ", text)
     if re.search(rf"[{CJK}]", rest):
         for m in SIGNS.finditer(rest):
             if sum(1 for c in m.group() if "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿") >= LEAST_CJK:
@@ -63,9 +66,14 @@ def phrases(text: str) -> list[str]:
     return out
 
 
+def shape(text: str) -> str:
+    """How the words of a text are written, one private character per word: small, capital first, capitals, one letter."""
+    return "".join("\ue003" if len(w) == 1 else "\ue000" if w.islower() else "\ue002" if w.isupper() else "\ue001" for w in re.findall(r"[^\W\d_]+", text))
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts (lower case, white space as one blank) and the bounds between texts."""
-    norm = [" " + re.sub(r"[\s\d\W]+", " ", t.lower()).strip() + " " for t in texts]
+    norm = [" " + re.sub(r"[\s\d\W]+", " ", t.lower()).strip() + " " + shape(t) for t in texts]
     c = np.frombuffer("".join(norm).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in norm], np.int64)
     ends = np.cumsum(sizes)
@@ -148,7 +156,9 @@ def no_language(names: list[str], n: int, seed: int = 3) -> list[str]:
     """Word runs as they occur in code, queries and directives, with names put in."""
     r = random.Random(seed)
     x = lambda: r.choice("abcdefghijkmnopqrstuvwxyz") if r.random() < 0.2 else re.sub(r"[\d_]+", " ", r.choice(names)).strip().split(" ")[0] or "x"
+    y = lambda: r.choice("abcdefghijkmnopqrstuvwxyz")
     forms = (
+        lambda: f"FROM {y()} JOIN {y()} ON {y()}", lambda: f"SELECT {y()}, {y()} FROM {y()}", lambda: f"LEFT JOIN {y()} ON {y()}", lambda: f"for {y()} in {x()}", lambda: f"if {y()} or {y()}",
         lambda: f"SELECT {x()}, {x()} FROM {x()} WHERE {x()}", lambda: f"FROM {x()} JOIN {x()} ON {x()}", lambda: f"select {x()} from {x()} order by {x()}", lambda: f"INSERT INTO {x()} VALUES", lambda: f"UPDATE {x()} SET {x()}", lambda: f"DELETE FROM {x()} WHERE {x()}", lambda: f"CREATE TABLE IF NOT EXISTS {x()}",
         lambda: f"ORDER BY {x()} DESC LIMIT", lambda: f"GROUP BY {x()}, {x()}", lambda: f"for {x()} in {x()}", lambda: f"for {x()} in {x()}: {x()}", lambda: f"return new {x()}", lambda: f"if {x()} and {x()}", lambda: f"if not {x()}: return", lambda: f"if {x()} is None: return {x()}", lambda: f"while {x()} do {x()}", lambda: f"import {x()} from {x()}", lambda: f"from {x()} import {x()}",
         lambda: f"public static void {x()}", lambda: f"private final {x()} {x()}", lambda: f"let mut {x()}", lambda: f"const {x()} of {x()}", lambda: f"pub fn {x()}", lambda: f"def {x()} end", lambda: f"{x()} {x()} {x()}", lambda: f"{x()} {x()} {x()} {x()}", lambda: f"git commit -m {x()}", lambda: f"{x()} --all --{x()} -o out", lambda: f"docker run {x()} {x()}", lambda: f"for (int {x()}", lambda: f"if ({x()} {x()}", lambda: f"{x()} (const {x()}", lambda: f"BEGIN {x()} PRIVATE KEY", lambda: f"END PUBLIC KEY",
@@ -199,9 +209,9 @@ def train_on(rows: list[tuple[str, str]], bound: int = SAMPLE_PHRASES) -> Classi
         ps = sorted(set(ps))
         r.shuffle(ps)
         for p in ps[:bound]:
-            # sentences in parts, as typed without accents, too
+            # sentences in parts, in capitals, and as typed without accents, too
             w = p.split()
-            some = [p, plain_letters(p)] + ([" ".join(w[i : i + 3]) for i in range(0, len(w) - 2, 5)][:2] if len(w) > 4 else [])
+            some = [p, plain_letters(p), p.upper()] + ([" ".join(w[i : i + 3]) for i in range(0, len(w) - 2, 5)][:2] if len(w) > 4 else [])
             texts.extend(some)
             labels.extend([c] * len(some))
     extra = no_language(names, bound * 2)
@@ -232,6 +242,7 @@ def label_phrases(texts: list[str], model: Classifier) -> list[str]:
     p = model.probabilities(texts)
     for i, t in enumerate(texts):
         p[i] *= possible(t)
+        p[i, -1] *= NONE_WEIGHT
     return [CLASSES[j] for j in p.argmax(1)] if len(texts) else []
 
 
