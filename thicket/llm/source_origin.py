@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,23 +75,29 @@ def path_origin(path: Column) -> Column:
     return F.when(path.rlike(THIRD_PARTY), "third_party").when(path.rlike(GENERATED) | path.rlike(GENERATED_CASE), "generated").when(path.rlike(PACKED), "packed")
 
 
-def layout(text: Column, ext: Column) -> dict[str, Column]:
-    """Layout statistics of a text, all by built-in functions."""
-    lines = F.split(text, r"\r\n|\r|\n")
-    bare = F.regexp_replace(text, LITERALS, "")
-    size = F.greatest(F.length(text), F.lit(1))
+#: Statistics that `layout` adds.
+STATISTICS = ("n_chars", "max_line", "mean_line", "white", "letters", "n_lines", "repeated", "run")
+
+
+def layout(files: DataFrame, text: str) -> DataFrame:
+    """Adds the layout statistics of a text, all by built-in functions; what several need is computed once."""
+    t = F.col(text)
+    size = F.greatest(F.length(t), F.lit(1))
     # lines that differ in numbers only are alike; brackets alone don't count as lines
-    alike = F.filter(F.split(F.regexp_replace(text, "[0-9]+", "0"), r"\s*(?:\r\n|\r|\n)\s*"), lambda x: F.length(x) > 4)
-    return {
-        "n_chars": F.length(text),
-        "max_line": F.array_max(F.transform(F.split(bare, r"\r\n|\r|\n"), F.length)),
-        "mean_line": F.length(text) / F.size(lines),
-        "white": 1 - F.length(F.regexp_replace(text, r"\s+", "")) / size,
-        "letters": F.length(F.regexp_replace(bare, r"[^\p{L}]+", "")) / F.greatest(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(1)),
-        "n_lines": F.size(alike),
-        "repeated": 1 - F.size(F.array_distinct(alike)) / F.greatest(F.size(alike), F.lit(1)),
-        "run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/=]{100,}|(?:\\x[0-9a-fA-F]{2}){30,})"), F.lit(1)), F.length)), F.lit(0)),
-    }
+    alike = F.filter(F.split(F.regexp_replace(t, "[0-9]+", "0"), r"\s*[\r\n]\s*"), lambda x: F.length(x) > 4)
+    runs = F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9+/=]{100,}|(?:\\x[0-9a-fA-F]{2}){30,})"), F.lit(1))
+    base = files.withColumns({"_bare": F.regexp_replace(t, LITERALS, ""), "_dense": F.length(F.regexp_replace(t, r"\s+", "")), "_alike": alike, "n_chars": F.length(t)})
+    return base.withColumns(
+        {
+            "max_line": F.array_max(F.transform(F.split("_bare", r"[\r\n]"), F.length)),
+            "mean_line": F.col("n_chars") / (F.length(F.regexp_replace(t, r"[^\n\r]+", "")) + 1),
+            "white": 1 - F.col("_dense") / size,
+            "letters": F.length(F.regexp_replace("_bare", r"[^\p{L}]+", "")) / F.greatest(F.col("_dense"), F.lit(1)),
+            "n_lines": F.size("_alike"),
+            "repeated": 1 - F.size(F.array_distinct("_alike")) / F.greatest(F.size("_alike"), F.lit(1)),
+            "run": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
+        }
+    ).drop("_bare", "_dense", "_alike")
 
 
 def layout_origin(ext: Column) -> Column:
@@ -115,14 +122,18 @@ def notice(text: str) -> bool:
     return False
 
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(rb"[\w\x80-\xff]+")
+MULTIPLIERS = (1_000_003, 998_244_353, 1_000_000_007, 19_260_817, 40_503)
 
 
 def stable_shingles(text: str) -> list[int]:
     """Hashes of the distinct five-word shingles; case, spacing and punctuation don't matter."""
-    w = [zlib.crc32(x.encode("utf-8", "replace")) for x in WORD.findall(text.lower())]
-    mask = (1 << 61) - 1
-    return list({(a * 1_000_003 + b * 998_244_353 + c * 1_000_000_007 + d * 19_260_817 + e * 40_503) & mask for a, b, c, d, e in zip(w, w[1:], w[2:], w[3:], w[4:])})
+    w = np.array([zlib.crc32(x) for x in WORD.findall(text.lower().encode("utf-8", "replace"))], np.uint64)
+    n = len(w) - SHINGLE + 1
+    if n <= 0:
+        return []
+    mixed = sum(w[i : n + i] * np.uint64(m) for i, m in enumerate(MULTIPLIERS))
+    return np.unique(mixed & np.uint64((1 << 61) - 1)).tolist()
 
 
 def library_index(libraries: DataFrame, name: Column, text: str) -> tuple[dict[int, tuple[int, ...]], list[int], list[str]]:
@@ -169,8 +180,8 @@ def origins(files: DataFrame, key: str, path: str, text: str, libraries: DataFra
     base = files.select(key, path, text).withColumn("_path", path_origin(F.col(path)))
     told = base.where(F.col("_path").isNotNull()).select(key, F.col("_path").alias("origin"), F.lit("path").alias("evidence"))
     open_ = base.where(F.col("_path").isNull() & (F.length(text) > 0))
-    stats = open_.select(key, text, ext.alias("_ext"), *(c.alias(n) for n, c in layout(F.col(text), ext).items()))
-    stats = stats.select(key, text, layout_origin(F.col("_ext")).alias("_layout"))
+    stats = layout(open_.select(key, F.col(text).alias("_text"), ext.alias("_ext")), "_text")
+    stats = stats.select(key, "_text", layout_origin(F.col("_ext")).alias("_layout"))
     head = f"{key} {files.schema[key].dataType.simpleString()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
