@@ -1,6 +1,7 @@
 """Pattern texts, structural patterns, sequences, S-expressions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from thicket import schema
 from thicket.operators import patterns as pt
@@ -21,6 +22,35 @@ def test_parse(text, want):
 def test_refused(text):
     with pytest.raises(pt.PatternError):
         pt.parse(text)
+    with pytest.raises(pt.PatternError):
+        pt.parse("f(" + text + " + (", "python")
+
+
+CODE = 'x = eval(a)\ny = eval(a, b)\nz = f(a) + f(a)\nw = f(a) + f(b)\nif x > 10:\n    pass\n'
+
+
+@pytest.mark.parametrize(("pattern", "want"), [("eval($X)", ["eval(a)"]), ("eval($$$ARGS)", ["eval(a)", "eval(a, b)"]), ("$F($X) + $F($X)", ["f(a) + f(a)"]), ("$A > 10", ["x > 10"]), ("$V = f($_) + $R", ["z = f(a) + f(a)", "w = f(a) + f(b)"]), ("nothing(1)", [])])
+def test_code_patterns(spark, pattern, want):
+    from thicket import api
+    from thicket.operators import rules as rl
+    from thicket.sources import frontends
+    from thicket.sources.rules import Rule
+
+    nodes = frontends.parse(spark.createDataFrame([(1, "python", CODE)], "file_id bigint, language string, content string")).cache()
+    texts = lambda keys: [r["text"] for r in nodes.join(keys.select("file_id", "node_id"), ["file_id", "node_id"], "left_semi").orderBy("node_id").collect()]
+    assert texts(api.find(nodes, pattern, "python")) == want
+    found = rl.scan(nodes, [Rule("r", "python", "found $X", {"pattern": pattern})])
+    assert texts(found) == want
+    if pattern == "eval($X)":
+        assert found.first()["message"] == "found a" and found.first()["captures"] == {"X": "a"}
+
+
+def test_texts_of_nodes(spark):
+    from thicket.sources import frontends
+
+    nodes = frontends.parse(spark.createDataFrame([(1, "python", 'q = "[1, 2]"')], "file_id bigint, language string, content string"))
+    inner = frontends.parse_texts(nodes.where("kind = 'StringLiteral'").withColumn("text", F.expr("trim(both '\"' from text)")), "json")
+    assert [r["native_type"] for r in inner.orderBy("node_id").collect()] == ["document", "array", "number", "number"]
 
 
 def test_placeholders_and_names():
@@ -33,7 +63,7 @@ def test_kinds():
     assert len(schema.KINDS) == 209
     assert schema.kind_of("function_item", "rust") == "FunctionDeclaration" and schema.kind_of("trait_item", "rust") == "TraitDeclaration"
     assert schema.kind_of("???") == "Unknown" and "call_expression" in schema.natives_of("CallExpression")
-    assert schema.is_uast_pattern("IfStatement") and not schema.is_uast_pattern("if_statement") and not schema.is_uast_pattern("$NAME")
+    assert schema.is_kind_pattern("IfStatement") and not schema.is_kind_pattern("if_statement") and not schema.is_kind_pattern("$NAME")
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +90,10 @@ def test_sequences(calls):
     assert [len(c["node_ids"]) for c in greedy[0]["captures"]] == [3, 0]
 
 
+def test_open_sequence(calls):
+    assert keys(pt.find(calls, pt.Structure("Call", {}, (pt.Literal("f"),), exact=False))) == [(1, 1)]
+
+
 def test_two_levels(calls):
     whole = pt.Structure("File", {}, (seq(pt.Literal("f"), pt.Meta("REST", True, 0)), pt.Meta("OTHER", True, 0)))
     got = pt.find(calls, whole).collect()

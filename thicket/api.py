@@ -43,6 +43,7 @@ def parse(files: DataFrame, **options) -> DataFrame:
 def find(nodes: DataFrame, pattern: str, language: str = "*") -> DataFrame:
     """Matches of a pattern text: file_id, node_id, captures."""
     p = patterns.parse(pattern, language)
+    nodes = nodes if language == "*" else nodes.where(schema.plain_language(F.col("language")) == schema.ALIASES.get(language.lower(), language.lower()))
     return sexpr.root_nodes(nodes, p.text).withColumn("captures", F.array().cast(f"array<{patterns.CAPTURE.simpleString()}>")) if isinstance(p, patterns.Query) else patterns.find(nodes, p)
 
 

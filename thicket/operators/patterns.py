@@ -71,9 +71,12 @@ class Query(Pattern):
 
 @dataclass(frozen=True)
 class Structure(Pattern):
+    """Kind, properties and child sequence; not `exact` allows further children at the end."""
+
     kind: str | None = None
     properties: dict = field(default_factory=dict)
     children: tuple[Pattern, ...] | None = None
+    exact: bool = True
 
     def __hash__(self) -> int:
         return hash((self.kind, tuple(sorted(self.properties.items())), self.children))
@@ -100,8 +103,9 @@ META = re.compile(rf"([{PREFIXES}]+)([A-Za-z_][A-Za-z0-9_]*)?")
 def parse(text: str, language: str = "*") -> Pattern:
     """Read a one-token pattern; the first form that fits counts.
 
-    A metavariable with anything behind it is code, which needs a parser for the language; it is
-    refused rather than matched to everything.
+    A metavariable with anything behind it, or text with blanks or brackets, is code: it is read by the
+    language's front end (see `code_pattern`), and refused where there is none rather than matched to
+    everything.
     """
     s = text.strip()
     if not s:
@@ -111,7 +115,7 @@ def parse(text: str, language: str = "*") -> Pattern:
         if not m.group(2):
             raise PatternError(f"metavariable without a name: {s}")
         if m.end() != len(s):
-            raise PatternError(f"code pattern needs a parser: {s}")
+            return code_pattern(s, language)
         n, name = len(m.group(1)), m.group(2)
         return Meta(None if name == "_" else name, n > 1, 0 if n > 2 else 1)
     if s in ("*", "..."):
@@ -128,13 +132,47 @@ def parse(text: str, language: str = "*") -> Pattern:
         return Literal(s == "true")
     if s in ("null", "nil", "None"):
         return Literal(None)
-    if schema.is_uast_pattern(s):
+    if schema.is_kind_pattern(s):
         return Kind(s) if s in schema.KINDS else Native(s, language)
-    if re.search(r"\s", s):
-        raise PatternError(f"code pattern needs a parser: {s}")
+    if not re.fullmatch(r"[\w.:+*/<>=!&|^~%-]+", s):
+        return code_pattern(s, language)
     return Native(s, language)
 
 
+def code_pattern(code: str, language: str) -> Pattern:
+    """A pattern written as code: parsed with identifiers in the place of metavariables.
+
+    The tree of the code becomes nested structures: inner nodes by kind, operator and children, leaves
+    by kind and text. A statement or expression that fills the whole code is the pattern.
+    """
+    from ..sources import frontends
+
+    lang = schema.ALIASES.get(language.lower(), language.lower())
+    if lang not in frontends.REGISTRY:
+        raise PatternError(f"code pattern needs a parser for {language}: {code}")
+    plain, names = placeholders(code)
+    try:
+        root = frontends.REGISTRY[lang](plain)
+    except frontends.ParseFailure as e:
+        raise PatternError(f"code pattern can't be read: {code}: {e}") from e
+    while len(root["kids"]) == 1 and root["type"] in ("module", "document", "expression_statement", "program", "source_file"):
+        root = root["kids"][0]
+
+    def convert(n: dict) -> Pattern:
+        text = plain[n["start"] : n["end"]]
+        if text in names and not n["kids"]:
+            return parse(names[text])
+        if len(n["kids"]) == 1 and n["type"] == "expression_statement" and text in names:
+            return parse(names[text])
+        kind = schema.kind_of(n["type"], lang)
+        props = dict(n.get("props") or {})
+        if not n["kids"]:
+            return Structure(kind, {**props, "text": text}, ())
+        return Structure(kind, props, tuple(map(convert, n["kids"])))
+
+    return convert(root)
+
+
 def metavariables(p: Pattern) -> list[str]:
     """Names of a pattern's metavariables in order of appearance, each once."""
     if isinstance(p, Meta):
@@ -257,7 +295,10 @@ def row_matches(p: Pattern, row: dict, env: dict) -> dict | None:
             have = row.get(k) if k in ("name", "text", "native_type") else (row.get("properties") or {}).get(k)
             if have is None or (v is not None and have != str(v)):
                 return None
-        return env if p.children is None else sequence(list(p.children), row.get("kids") or [], env)
+        if p.children is None:
+            return env
+        rest = [] if p.exact else [Meta(None, True, 0)]
+        return sequence([*p.children, *rest], row.get("kids") or [], env)
     return None
 
 

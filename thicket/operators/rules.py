@@ -57,13 +57,19 @@ def own_test(d: dict, language: str) -> Column:
     return out
 
 
-def simple(d: dict) -> bool:
+def looked_up(d: dict, language: str) -> pt.Pattern | None:
+    """The pattern of a condition if the node's own columns don't decide it: an S-expression, or code with children."""
+    if "pattern" not in d:
+        return None
+    p = pt.parse(d["pattern"], language)
+    return None if pt.relational(p) else p
+
+
+def simple(d: dict, language: str = "*") -> bool:
     """Whether a condition is decided by the node's own columns at every level."""
-    if any(k in d for k in RELATIONS):
+    if any(k in d for k in RELATIONS) or looked_up(d, language) is not None:
         return False
-    if "pattern" in d and d["pattern"].strip().startswith("("):
-        return False
-    return all(simple(x) for k in ("any", "all") for x in d.get(k, ())) and ("not" not in d or simple(d["not"]))
+    return all(simple(x, language) for k in ("any", "all") for x in d.get(k, ())) and ("not" not in d or simple(d["not"], language))
 
 
 def simple_test(d: dict, language: str) -> Column:
@@ -83,8 +89,8 @@ def simple_test(d: dict, language: str) -> Column:
 def target_test(d: dict, language: str) -> Column:
     if not any(k in d for k in ("pattern", "kind", "regex", "any", "all", "not")):
         raise RuleError("a relation needs a pattern or a kind")
-    if not simple(d):
-        raise RuleError("the target of a relation can't have relations of its own")
+    if not simple(d, language):
+        raise RuleError("the target of a relation can't have relations or children of its own")
     return simple_test(d, language)
 
 
@@ -107,12 +113,13 @@ def matching(nodes: DataFrame, d: dict, language: str) -> DataFrame:
     `any` unites its alternatives, `all` follows one after the other, `not` is an anti-join, and all
     parts of a condition that are there apply together.
     """
-    if simple(d):
+    if simple(d, language):
         return nodes.where(simple_test(d, language)).select(*KEY)
-    own = {k: v for k, v in d.items() if k in ("pattern", "kind", "regex") and not (k == "pattern" and v.strip().startswith("("))}
+    deep = looked_up(d, language)
+    own = {k: v for k, v in d.items() if k in ("pattern", "kind", "regex") and not (k == "pattern" and deep is not None)}
     out = nodes.where(own_test(own, language)).select(*KEY)
-    if d.get("pattern", "").strip().startswith("("):
-        out = out.join(sexpr.root_nodes(nodes, d["pattern"]), KEY, "left_semi")
+    if deep is not None:
+        out = out.join(found_by(nodes, deep), KEY, "left_semi")
     if "any" in d:
         some = None
         for x in d["any"]:
@@ -130,14 +137,19 @@ def matching(nodes: DataFrame, d: dict, language: str) -> DataFrame:
     return out
 
 
-def capture_name(d: dict) -> list[str]:
+def found_by(nodes: DataFrame, p: pt.Pattern) -> DataFrame:
+    """file_id, node_id (and captures) of a pattern that isn't decided by the node alone."""
+    return sexpr.root_nodes(nodes, p.text) if isinstance(p, pt.Query) else pt.find(nodes, p)
+
+
+def capture_name(d: dict, language: str) -> list[str]:
     """Metavariables that the matched node itself binds."""
     names = []
-    if "pattern" in d and not d["pattern"].strip().startswith("("):
-        names += pt.metavariables(pt.parse(d["pattern"]))
+    if "pattern" in d and looked_up(d, language) is None:
+        names += pt.metavariables(pt.parse(d["pattern"], language))
     for k in ("any", "all"):
         for x in d.get(k, ()):
-            names += capture_name(x)
+            names += capture_name(x, language)
     return list(dict.fromkeys(names))
 
 
@@ -178,7 +190,7 @@ def bindings(d: dict, language: str) -> list[tuple[Column | None, str]]:
     In `any` only the first alternative that fits binds; an alternative with relations counts as fitting.
     """
     out: list[tuple[Column | None, str]] = []
-    if "pattern" in d and not d["pattern"].strip().startswith("("):
+    if "pattern" in d and looked_up(d, language) is None:
         p = pt.parse(d["pattern"], language)
         free = isinstance(p, (pt.Meta, pt.Wild)) and not getattr(p, "kind", None)
         out += [(None if free else pt.test(p), n) for n in pt.metavariables(p)]
@@ -187,7 +199,7 @@ def bindings(d: dict, language: str) -> list[tuple[Column | None, str]]:
         if taken is None:
             break
         free = set(x) == {"pattern"} and isinstance(pt.parse(x["pattern"], language), (pt.Meta, pt.Wild))
-        here = None if free or not simple(x) else simple_test(x, language)
+        here = None if free or not simple(x, language) else simple_test(x, language)
         for c, n in bindings(x, language):
             parts = [y for y in (here, ~taken, c) if y is not None]
             cond = parts[0]
@@ -208,6 +220,13 @@ def bound_names(rule: Rule) -> Column:
     return F.array_distinct(F.array_compact(F.array(*(F.lit(n) if c is None else F.when(c, F.lit(n)) for c, n in entries))))
 
 
+def deep_captures(rule: Rule) -> Column:
+    """Captures of the rule's own code pattern, from the column of its fact; else none."""
+    if looked_up(rule.rule, rule.language) is None:
+        return F.create_map().cast("map<string,string>")
+    return F.coalesce(F.col(flag("query", rule.rule["pattern"], rule.language) + "_c"), F.create_map().cast("map<string,string>"))
+
+
 def applies(rule: Rule) -> Column:
     """Whether a rule is for the language of a node (in the column _lang, plainly spelled)."""
     lang = rule.language.strip().lower()
@@ -230,7 +249,7 @@ TEMPLATES = "_rule int, rule_id string, severity string, severity_level int, _me
 
 
 def constrained(rule: Rule) -> Column:
-    names = set(capture_name(rule.rule))
+    names = set(capture_name(rule.rule, rule.language))
     out = F.lit(True)
     for n, c in rule.constraints.items():
         if n.lstrip(tx.PREFIXES) in names:
@@ -256,7 +275,7 @@ def facts_of(d: dict, language: str) -> dict[str, tuple[str, dict, str]]:
             if r in x:
                 name = r[3:].lower() if r.startswith("not") else r
                 out[flag(name, x[r], language)] = (name, x[r], language)
-        if x.get("pattern", "").strip().startswith("("):
+        if looked_up(x, language) is not None:
             out[flag("query", x["pattern"], language)] = ("query", x, language)
         for y in (*x.get("any", ()), *x.get("all", ()), *([x["not"]] if "not" in x else ())):
             walk(y)
@@ -267,7 +286,7 @@ def facts_of(d: dict, language: str) -> dict[str, tuple[str, dict, str]]:
 
 def full_test(d: dict, language: str) -> Column:
     """A whole condition as a Column over nodes that carry the flags of `with_facts`."""
-    has_query = d.get("pattern", "").strip().startswith("(")
+    has_query = looked_up(d, language) is not None
     out = own_test({k: v for k, v in d.items() if not (k == "pattern" and has_query)}, language)
     if has_query:
         out = out & F.col(flag("query", d["pattern"], language))
@@ -295,8 +314,16 @@ def with_facts(nodes: DataFrame, rules: Iterable[Rule]) -> DataFrame:
         facts |= facts_of(r.rule, r.language)
     base = nodes
     for name, (what, d, language) in facts.items():
-        keys = sexpr.root_nodes(base, d["pattern"]) if what == "query" else related(base, what, d, language)
-        nodes = nodes.join(keys.distinct().withColumn(name, F.lit(True)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        if what == "query":
+            keys = found_by(base, looked_up(d, language))
+            if "captures" in keys.columns:
+                entries = F.transform("captures", lambda c: F.struct(c["name"].alias("key"), c["text"].alias("value")))
+                keys = keys.select(*KEY, F.map_from_entries(entries).alias(name + "_c"))
+            else:
+                keys = keys.distinct().withColumn(name + "_c", F.create_map().cast("map<string,string>"))
+        else:
+            keys = related(base, what, d, language).distinct()
+        nodes = nodes.join(keys.withColumn(name, F.lit(True)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return nodes
 
 
@@ -314,20 +341,20 @@ def scan(nodes: DataFrame, rules: Iterable[Rule], files: DataFrame | None = None
     if min_severity is not None:
         n = tx.SEVERITIES[min_severity.lower()]
         rules = [r for r in rules if (tx.SEVERITIES[r.severity] == n if exact else tx.SEVERITIES[r.severity] >= n)]
-    if any(not simple(r.rule) for r in rules):
+    if any(not simple(r.rule, r.language) for r in rules):
         nodes = with_facts(cut(nodes), rules)
     if any(r.files or r.ignores for r in rules):
         nodes = nodes.join(files.select("file_id", "path"), "file_id", "left")
     nodes = nodes.withColumn("_lang", schema.plain_language(F.col("language")))
     # one number and the bound names per hit; the templates of the rules come by a broadcast of the rules
-    hits = [F.when(applies(r) & path_test(r) & full_test(r.rule, r.language) & constrained(r), F.struct(F.lit(i).alias("_rule"), bound_names(r).alias("_bound"))) for i, r in enumerate(rules)]
-    none = F.array().cast("array<struct<_rule:int,_bound:array<string>>>")
+    hits = [F.when(applies(r) & path_test(r) & full_test(r.rule, r.language) & constrained(r), F.struct(F.lit(i).alias("_rule"), bound_names(r).alias("_bound"), deep_captures(r).alias("_deep"))) for i, r in enumerate(rules)]
+    none = F.array().cast("array<struct<_rule:int,_bound:array<string>,_deep:map<string,string>>>")
     value = F.coalesce("text", "name", F.lit(""))
     found = nodes.select(*KEY, *schema.SPAN, value.alias("_value"), F.explode(F.array_compact(F.array(*hits)) if hits else none).alias("_h"))
     found = found.select(*KEY, *schema.SPAN, "_value", "_h.*")
     rows = [(i, r.id, r.severity, tx.SEVERITIES[r.severity], r.message, r.fix) for i, r in enumerate(rules)]
     found = found.join(F.broadcast(nodes.sparkSession.createDataFrame(rows, TEMPLATES)), "_rule")
-    captures = F.map_from_arrays("_bound", F.array_repeat(F.col("_value"), F.size("_bound")))
+    captures = F.map_concat(F.map_from_arrays("_bound", F.array_repeat(F.col("_value"), F.size("_bound"))), "_deep")
     found = found.withColumn("captures", captures)
     has_names = lambda c: F.col(c).rlike(f"[{tx.PREFIXES}]")
     message = F.when(has_names("_message"), tx.interpolate(F.col("_message"), F.col("captures"))).otherwise(F.col("_message"))

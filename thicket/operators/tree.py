@@ -198,6 +198,12 @@ def node_at(nodes: DataFrame, start: Column, end: Column) -> DataFrame:
     return nodes.where((F.col("start_offset") == start) & (F.col("end_offset") == end)).groupBy("file_id").agg(F.min("node_id").alias("node_id"))
 
 
+def has_error(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """file_id, has_error: whether a file has a parse error."""
+    bad = errors.select("file_id").distinct().withColumn("_e", F.lit(True))
+    return files.select("file_id").distinct().join(bad, "file_id", "left").select("file_id", F.coalesce("_e", F.lit(False)).alias("has_error"))
+
+
 def is_error(native_type: Column) -> Column:
     return native_type.isin("ERROR", "MISSING") | F.coalesce(native_type.startswith("MISSING"), F.lit(False))
 

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
@@ -366,6 +367,16 @@ def parse(files: DataFrame, anonymous: bool = False, all_text: bool = True, max_
     return files.where("content <> ''").select("file_id", "language", "content").mapInArrow(run, out_schema)
 
 
+def parse_texts(nodes: DataFrame, language: str | None = None) -> DataFrame:
+    """Nodes of the texts of nodes, each parsed as a file of its own; file_id is a hash of the node's key.
+
+    With `language` all texts are read as that language, say queries inside strings.
+    """
+    lang = F.lit(language) if language else F.col("language")
+    texts = nodes.select(F.xxhash64("file_id", "node_id").alias("file_id"), lang.alias("language"), F.col("text").alias("content"))
+    return parse(texts)
+
+
 def parse_errors(files: DataFrame) -> DataFrame:
     """file_id, message, severity, start_offset (bytes) of the texts that their front end can't read."""
     ship(files.sparkSession)
