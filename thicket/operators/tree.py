@@ -227,7 +227,9 @@ def node_text(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def subtree_digest(nodes: DataFrame) -> DataFrame:
     """file_id, node_id, digest: equal digests mean structurally equal subtrees (kind, text, name, order of children).
 
-    Levels are folded from the deepest up; a level's digests are grouped by parent in sibling order.
+    Levels are folded from the deepest up. The children of a node are merged by two exclusive-or sums of
+    hashes of (place, digest) and their number, map-side, so that a node with very many children is no
+    hot group.
     """
     own = F.concat_ws("|", F.coalesce("kind", F.lit("")), *(F.coalesce(F.concat(F.lit("v"), F.length(c), F.lit(":"), F.col(c)), F.lit("n")) for c in ("text", "name")))
     rows = nodes.select(*KEY, "parent_id", "sib_idx", "depth", own.alias("_own"))
@@ -236,7 +238,8 @@ def subtree_digest(nodes: DataFrame) -> DataFrame:
     for level in range(deepest if deepest is not None else -1, -1, -1):
         at = rows.where(F.col("depth") == level)
         if below is not None:
-            folded = below.groupBy("file_id", "parent_id").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("sib_idx", "digest"))), lambda x: x["digest"])), 256).alias("_kids"))
+            sums = [F.bit_xor(F.xxhash64(F.lit(salt), "sib_idx", "digest")) for salt in ("a", "b")]
+            folded = below.groupBy("file_id", "parent_id").agg(F.concat_ws(",", F.count(F.lit(1)), *sums).alias("_kids"))
             at = at.join(folded.withColumnRenamed("parent_id", "node_id"), KEY, "left")
         else:
             at = at.withColumn("_kids", F.lit(None).cast("string"))

@@ -364,9 +364,9 @@ def json_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.json_lines(findings(spark, d), detailed=True)
 
 
-@query()
+@query("select line from (select file_path, '  ' || start_line || ':' || (start_column + 1) || ' [' || upper(coalesce(severity, 'warning')) || '] ' || coalesce(rule_id, '') || ': ' || message as line from findings where file_path is not null union all select file_path, file_path from findings where file_path is not null group by file_path union all select file_path, count(*) || ' finding(s)' from findings where file_path is not null group by file_path)")
 def grouped_report(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.grouped_text(findings(spark, d).where("file_path is not null"))
+    return sinks.grouped_text(findings(spark, d).where("file_path is not null")).select("line")
 
 
 @query(f"{N} select file_id, node_id, repeat(' ', depth * 2) || coalesce(kind, 'Unknown') line from n")

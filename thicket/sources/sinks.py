@@ -24,15 +24,19 @@ def text_lines(findings: DataFrame) -> DataFrame:
 
 
 def grouped_text(findings: DataFrame) -> DataFrame:
-    """file_path, report: the findings of each file, one per line with a tag and a snippet of at most 100 characters.
+    """file_path, section, start_line, start_column, line: a report by file, to be written in that order.
 
-    A file's report is one row; its findings are bounded by the file, not by the table.
+    Section 0 is the file's heading, 1 its findings with a tag and a snippet of at most 100 characters, 2
+    its count. Lines stay rows, so that a file with very many findings is no hot group.
     """
     snippet = preview(F.coalesce("message", F.lit("")), 100)
-    line = F.format_string("  %d:%d [%s] %s: %s", "start_line", F.col("start_column") + 1, F.upper("severity"), F.coalesce("rule_id", F.lit("")), snippet)
-    rows = findings.select("file_path", F.struct("start_line", "start_column", "rule_id", line.alias("line")).alias("r"))
-    body = rows.groupBy("file_path").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return body.select("file_path", F.concat_ws("\n", "file_path", F.concat_ws("\n", F.transform("rs", lambda r: r["line"])), F.format_string("%d finding(s)", F.size("rs"))).alias("report"))
+    line = F.format_string("  %d:%d [%s] %s: %s", "start_line", F.col("start_column") + 1, F.upper(F.coalesce("severity", F.lit("warning"))), F.coalesce("rule_id", F.lit("")), snippet)
+    body = findings.select("file_path", F.lit(1).alias("section"), "start_line", "start_column", line.alias("line"))
+    none = F.lit(None).cast("int")
+    counts = findings.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    head = counts.select("file_path", F.lit(0).alias("section"), none.alias("start_line"), none.alias("start_column"), F.coalesce("file_path", F.lit("<stdin>")).alias("line"))
+    foot = counts.select("file_path", F.lit(2).alias("section"), none.alias("start_line"), none.alias("start_column"), F.format_string("%d finding(s)", "n").alias("line"))
+    return head.unionByName(body).unionByName(foot)
 
 
 def json_lines(findings: DataFrame, detailed: bool = False) -> DataFrame:
