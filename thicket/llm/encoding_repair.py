@@ -127,8 +127,8 @@ class Model:
         mixed = shares + 20.0 * pooled
         self.log_share = np.log(mixed / mixed.sum(1, keepdims=True))
 
-    def score(self, text: str) -> float:
-        pair, char = hashes(text)
+    def score(self, pair: np.ndarray, char: np.ndarray) -> float:
+        """Log likelihood of a text with these hashes."""
         # the character before: the one after, shifted by one; the first is a border
         before = np.concatenate([[32], char[:-1]])
         uni = (self.chars[char] + 0.02) / (self.total + 0.02 * (1 << CHAR_BITS))
@@ -145,13 +145,29 @@ def quoted(token: str) -> str | None:
     return inside if inside and not any(c.isalnum() for c in rest) and "`" not in inside and len(inside) <= 16 and not any(c.isascii() and c.isalnum() for c in inside) else None
 
 
+#: Stretches whose candidates a worker keeps from round to round, and their longest length.
+MEMORY, MEMORY_LENGTH = 30_000, 200
+_known: dict[str, list] = {}
+
+
+def prepared(token: str) -> list[tuple[str, int, int, np.ndarray, np.ndarray]]:
+    """(original, chain, steps, pair hashes, character hashes) of each candidate; the identity comes first."""
+    got = _known.get(token)
+    if got is None:
+        got = [(t, chain, steps, *hashes(t)) for t, (chain, steps) in candidates(token).items()]
+        if len(token) <= MEMORY_LENGTH:
+            if len(_known) >= MEMORY:
+                _known.clear()
+            _known[token] = got
+    return got
+
+
 def scored(token: str, model: Model | None) -> list[tuple[str, int, int, float]]:
     """(original, chain, steps, log likelihood) of each candidate; the identity comes first."""
-    found = candidates(token).items()
     if model is None:
         # to begin with, what happens to be valid UTF-8 counts as damaged, and no other damage is assumed
-        return [(t, chain, steps, (-1e3 if chain >= FIRST_OTHER and steps == 1 else 0.0) - 2.5 * len(t)) for t, (chain, steps) in found]
-    return [(t, chain, steps, model.score(t)) for t, (chain, steps) in found]
+        return [(t, chain, steps, (-1e3 if chain >= FIRST_OTHER and steps == 1 else 0.0) - 2.5 * len(t)) for t, chain, steps, _, _ in prepared(token)]
+    return [(t, chain, steps, model.score(pair, char)) for t, chain, steps, pair, char in prepared(token)]
 
 
 def posterior(options: list[tuple[str, int, int, float]], group: int, model: Model | None) -> np.ndarray:
@@ -217,9 +233,8 @@ def expect(batches: Iterator[pd.DataFrame], model: Model | None) -> Iterator[pd.
                 p = posterior(options, g["group"], model) * g["n"]
                 weight += p
                 np.add.at(shares[g["group"]], chains, p)
-            for w, x in zip(weight, options):
+            for w, (_t, _chain, _steps, pair, char) in zip(weight, prepared(token)):
                 if w > 1e-4:
-                    pair, char = hashes(x[0])
                     np.add.at(pairs, pair, w)
                     np.add.at(chars, char, w)
                     chars[32] += w
