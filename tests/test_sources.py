@@ -168,3 +168,17 @@ def test_stream_windows(spark, tmp_path, folder):
     got = {r["file_id"]: r["last_matches"] for r in spark.table("latest").collect()}
     rows = scans.where("scanned_at is not null and n_matches is not null").groupBy("file_id").agg(F.max_by("n_matches", "scanned_at").alias("m"))
     assert set(got) == {r["file_id"] for r in rows.collect()}
+
+
+def test_store(spark, tmp_path):
+    from thicket.sources import store
+
+    make = lambda *rows: spark.createDataFrame([(i, f"f{i}.py", "python", t) for i, t in rows], "file_id bigint, path string, language string, content string")
+    folder = str(tmp_path / "nodes")
+    first, second = make((1, "x = 1\n"), (2, "y = f(2)\n"), (3, None)), make((1, "x = 1\n"), (2, "y = g(3)\n"), (4, "z"))
+    assert store.update(first, folder) == 2 and store.update(first, folder) == 0
+    assert store.update(second, folder) == 2
+    texts = {r["text"] for r in store.load(second, folder).where("kind = 'CallExpression'").collect()}
+    assert texts == {"g(3)"} and set(store.load(second, folder).columns) == set(frontends.parse(second).columns)
+    store.compact(second, folder, str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == store.load(second, folder).count() < spark.read.parquet(folder).count()

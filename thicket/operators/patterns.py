@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..session import ship
+from ..session import ship, small_batches
 from .tree import KEY
 
 #: Characters that begin a metavariable.
@@ -398,6 +398,7 @@ def find(nodes: DataFrame, p: Pattern) -> DataFrame:
     if relational(p):
         return nodes.where(test(p)).select(*KEY, own_captures(p).alias("captures"))
     ship(nodes.sparkSession)
+    small_batches(nodes.sparkSession, 4000)
     levels = depth_of(p)
     # maps can't be ordered, so properties travel as text
     item = F.struct("sib_idx", *ROW[:-1], F.to_json("properties").alias("properties"))
