@@ -48,10 +48,16 @@ def query(sql: str | None = None):
     return add
 
 
-def keys_query(name: str, make, sql: str | None) -> None:
-    """Register a query whose result is the keys of nodes."""
+def keys_query(name: str, make, sql: str | None, own: bool = False) -> None:
+    """Register a query whose result is the keys of nodes.
+
+    With `own` the node itself decides: the filter goes to the scan, and repeated rows (which are
+    equal) fall together only afterwards, as keys.
+    """
 
     def fn(spark: SparkSession, d: str) -> DataFrame:
+        if own:
+            return make(table(spark, d, "uast_nodes")).select(*KEY).distinct()
         return make(nodes(spark, d)).select(*KEY)
 
     QUERIES[name] = fn
@@ -72,19 +78,19 @@ def kind(k: str):
 
 
 # ---------------------------------------------------------------- patterns on the node itself
-keys_query("kind_find", partial(found, "CallExpression"), select("kind = 'CallExpression'"))
-keys_query("kind_find_any_case", lambda n: tree.find_kinds(n, "linecomment", "COMMENT"), select("lower(kind) in ('linecomment', 'comment')"))
-keys_query("native_find", lambda n: tree.find_native(n, "binary_expression"), select("native_type = 'binary_expression'"))
-keys_query("native_pattern", partial(found, "call_expression"), select("native_type = 'call_expression' or (native_type is null and kind = 'CallExpression')"))
-keys_query("literal_int", partial(found, "100"), select("regexp_matches(text, '^[+-]?[0-9]+$') and try_cast(text as bigint) = 100"))
-keys_query("literal_float", partial(found, "250.0"), select("regexp_matches(text, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') and abs(try_cast(text as double) - 250.0) < 2.220446049250313e-16"))
-keys_query("literal_string", partial(found, "'probe_view'"), select("text = 'probe_view' or name = 'probe_view'"))
-keys_query("literal_bool", partial(found, "true"), select("lower(text) = 'true'"))
-keys_query("literal_null", partial(found, "null"), select("lower(text) in ('null', 'nil', 'none')"))
-keys_query("wildcard_named", lambda n: found("$_", n.where("is_named")), select("is_named"))
-keys_query("any_pattern", lambda n: patterns.find(n, patterns.AnyOf((patterns.parse("BinaryExpression"), patterns.parse("'scope'")))), select("kind = 'BinaryExpression' or text = 'scope' or name = 'scope'"))
-keys_query("not_pattern", lambda n: patterns.find(n, patterns.Not(patterns.parse("Identifier"))), select("kind is null or kind <> 'Identifier'"))
-keys_query("structure_properties", lambda n: patterns.find(n, patterns.Structure("VariableDeclaration", {"isLet": None})), select("lower(kind) = 'variabledeclaration' and properties['isLet'] is not null"))
+keys_query("kind_find", partial(found, "CallExpression"), select("kind = 'CallExpression'"), own=True)
+keys_query("kind_find_any_case", lambda n: tree.find_kinds(n, "linecomment", "COMMENT"), select("lower(kind) in ('linecomment', 'comment')"), own=True)
+keys_query("native_find", lambda n: tree.find_native(n, "binary_expression"), select("native_type = 'binary_expression'"), own=True)
+keys_query("native_pattern", partial(found, "call_expression"), select("native_type = 'call_expression' or (native_type is null and kind = 'CallExpression')"), own=True)
+keys_query("literal_int", partial(found, "71"), select("regexp_matches(text, '^[+-]?[0-9]+$') and try_cast(text as bigint) = 71"), own=True)
+keys_query("literal_float", partial(found, "15.0"), select("regexp_matches(text, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') and abs(try_cast(text as double) - 15.0) < 2.220446049250313e-16"), own=True)
+keys_query("literal_string", partial(found, "'probe_view'"), select("text = 'probe_view' or name = 'probe_view'"), own=True)
+keys_query("literal_bool", partial(found, "true"), select("lower(text) = 'true'"), own=True)
+keys_query("literal_null", partial(found, "null"), select("lower(text) in ('null', 'nil', 'none')"), own=True)
+keys_query("wildcard_named", lambda n: found("$_", n.where("is_named")), select("is_named"), own=True)
+keys_query("any_pattern", lambda n: patterns.find(n, patterns.AnyOf((patterns.parse("BinaryExpression"), patterns.parse("'scope'")))), select("kind = 'BinaryExpression' or text = 'scope' or name = 'scope'"), own=True)
+keys_query("not_pattern", lambda n: patterns.find(n, patterns.Not(patterns.parse("Identifier"))), select("kind is null or kind <> 'Identifier'"), own=True)
+keys_query("structure_properties", lambda n: patterns.find(n, patterns.Structure("VariableDeclaration", {"isLet": None})), select("lower(kind) = 'variabledeclaration' and properties['isLet'] is not null"), own=True)
 # ---------------------------------------------------------------- relations
 rule = lambda **d: (lambda n: rl.matching(n, d, "*"))
 FUNCTION = "kind in ('FunctionDeclaration', 'MethodDeclaration')"
@@ -94,7 +100,7 @@ def with_last(make):
     return lambda n: make(tree.with_intervals(n))
 
 
-keys_query("regex_rule", rule(kind="Identifier", regex="^(probe|meter)_"), select("kind = 'Identifier' and regexp_matches(coalesce(text, name), '^(probe|meter)_')"))
+keys_query("regex_rule", rule(kind="Identifier", regex="^(probe|meter)_"), select("kind = 'Identifier' and regexp_matches(coalesce(text, name), '^(probe|meter)_')"), own=True)
 keys_query("inside_kind", with_last(rule(kind="CallExpression", inside={"kind": "FunctionDeclaration"})), UP + " select distinct c.file_id, c.node_id from n c join up u using (file_id, node_id) join n a on a.file_id = u.file_id and a.node_id = u.anc where c.kind = 'CallExpression' and a.kind = 'FunctionDeclaration'")
 keys_query("inside_neighbor", rule(kind="CallExpression", inside={"kind": "FunctionDeclaration", "stopBy": "neighbor"}), f"{N} select c.file_id, c.node_id from n c join n a on a.file_id = c.file_id and a.node_id = c.parent_id where c.kind = 'CallExpression' and a.kind = 'FunctionDeclaration'")
 keys_query("not_inside", with_last(rule(kind="StringLiteral", notInside={"kind": "CallExpression"})), UP + " select c.file_id, c.node_id from n c where c.kind = 'StringLiteral' and not exists (select 1 from up u join n a on a.file_id = u.file_id and a.node_id = u.anc where u.file_id = c.file_id and u.node_id = c.node_id and a.kind = 'CallExpression')")
@@ -104,11 +110,11 @@ keys_query("not_has", with_last(rule(kind="MethodDeclaration", notHas={"kind": "
 SIBLINGS = "{n} select distinct a.file_id, a.node_id from n a join n b on b.file_id = a.file_id and b.parent_id = a.parent_id and {order} where a.kind = 'CallExpression' and b.kind = 'VariableDeclaration'"
 for _name, _key, _order in (("precedes", "precedes", "b.sib_idx > a.sib_idx"), ("precedes_immediate", "precedes", "b.sib_idx = a.sib_idx + 1"), ("follows", "follows", "b.sib_idx < a.sib_idx"), ("follows_immediate", "follows", "b.sib_idx = a.sib_idx - 1")):
     keys_query(_name, rule(kind="CallExpression", **{_key: {"kind": "VariableDeclaration", "immediate": _name.endswith("immediate")}}), SIBLINGS.format(n=N, order=_order))
-keys_query("any_rule", rule(any=[{"kind": "NumberLiteral"}, {"pattern": "'scope'"}]), select("lower(kind) = 'numberliteral' or native_type = 'NumberLiteral' or text = 'scope' or name = 'scope'"))
-keys_query("all_rule", rule(all=[{"kind": "Identifier"}, {"regex": "_state$"}, {"not": {"regex": "^probe"}}]), select("kind = 'Identifier' and regexp_matches(coalesce(text, name), '_state$') and not regexp_matches(coalesce(text, name), '^probe')"))
-keys_query("not_rule", rule(**{"not": {"any": [{"kind": "Identifier"}, {"kind": "StringLiteral"}]}}), select("kind is null or kind not in ('Identifier', 'StringLiteral')"))
+keys_query("any_rule", rule(any=[{"kind": "NumberLiteral"}, {"pattern": "'scope'"}]), select("lower(kind) = 'numberliteral' or native_type = 'NumberLiteral' or text = 'scope' or name = 'scope'"), own=True)
+keys_query("all_rule", rule(all=[{"kind": "Identifier"}, {"regex": "_state$"}, {"not": {"regex": "^probe"}}]), select("kind = 'Identifier' and regexp_matches(coalesce(text, name), '_state$') and not regexp_matches(coalesce(text, name), '^probe')"), own=True)
+keys_query("not_rule", rule(**{"not": {"any": [{"kind": "Identifier"}, {"kind": "StringLiteral"}]}}), select("kind is null or kind not in ('Identifier', 'StringLiteral')"), own=True)
 keys_query("nested_relations", with_last(rule(any=[{"kind": "CallExpression", "inside": {"kind": "MethodDeclaration"}}, {"kind": "Comment", "precedes": {"kind": "CallExpression"}}])), UP + " select distinct c.file_id, c.node_id from n c where (c.kind = 'CallExpression' and exists (select 1 from up u join n a on a.file_id = u.file_id and a.node_id = u.anc where u.file_id = c.file_id and u.node_id = c.node_id and a.kind = 'MethodDeclaration')) or (c.kind = 'Comment' and exists (select 1 from n b where b.file_id = c.file_id and b.parent_id = c.parent_id and b.sib_idx > c.sib_idx and b.kind = 'CallExpression'))")
-keys_query("constraint_not_regex", lambda n: n.where(kind("Identifier") & rl.constraint_test({"notRegex": "_(state|view)$", "not": {"regex": "^a"}})), select("kind = 'Identifier' and not coalesce(regexp_matches(coalesce(text, name), '_(state|view)$'), false) and not coalesce(regexp_matches(coalesce(text, name), '^a'), false)"))
+keys_query("constraint_not_regex", lambda n: n.where(kind("Identifier") & rl.constraint_test({"notRegex": "_(state|view)$", "not": {"regex": "^a"}})), select("kind = 'Identifier' and not coalesce(regexp_matches(coalesce(text, name), '_(state|view)$'), false) and not coalesce(regexp_matches(coalesce(text, name), '^a'), false)"), own=True)
 
 
 @query(f"{N}, h as (select file_id, node_id, start_offset, end_offset, case when kind = 'VariableDeclaration' then 0 else 1 end alternative from n where kind in ('VariableDeclaration', 'CallExpression')), r as (select *, row_number() over (partition by file_id, start_offset, end_offset order by alternative, node_id) rn from h) select file_id, node_id, alternative from r where rn = 1")
