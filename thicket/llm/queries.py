@@ -125,9 +125,11 @@ def latest_files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def credential_rows(spark: SparkSession, d: str) -> DataFrame:
     """Nodes and captures with credentials: table_name, file_id, item_id, kinds, n_found, redacted."""
-    nodes = table(spark, d, "uast_nodes").select("file_id", "node_id", "parent_id", "sib_idx", "kind", "name", "text").distinct()
+    nodes = table(spark, d, "uast_nodes").select("file_id", "node_id", "parent_id", "sib_idx", "kind", "name", "text")
     words = secrets.dictionary(nodes.where("kind = 'Identifier'"), F.col("text"))
-    near = nodes.select("file_id", "node_id", "text").where("text is not null").join(secrets.node_contexts(nodes), ["file_id", "node_id"], "left")
+    near = nodes.where("text is not null").select("file_id", "node_id", "text").join(secrets.node_contexts(nodes), ["file_id", "node_id"], "left")
+    # repeated rows fall together only among what is to be looked at
+    near = near.where(F.col("context").isNotNull() | F.col("text").rlike(secrets.MAYBE)).distinct()
     rows = near.select(F.lit("uast_nodes").alias("table_name"), "file_id", F.col("node_id").cast("bigint").alias("item_id"), "text", "context")
     caps = table(spark, d, "captures").select(F.lit("captures").alias("table_name"), "file_id", F.col("capture_id").alias("item_id"), "text", F.lit(None).cast("string").alias("context")).where(F.col("text").rlike(secrets.MAYBE)).distinct()
     return secrets.credentials(rows.unionByName(caps), ["table_name", "file_id", "item_id"], "text", "context", words)
