@@ -150,3 +150,8 @@ def test_nested_tables(spark):
     assert {(r["property"], r["value"]) for r in nested.property_table(n, "tree_id").collect()} == {("a", "1"), ("b", '{"c": [1]}')}
     pairs = nested.within(nested.kind_table(n, "H"), nested.kind_table(n, "F"), "tree_id").collect()
     assert [(r["outer_no"], r["inner_no"]) for r in pairs] == [(0, 2)]
+
+
+def test_share_is_inclusive(spark):
+    df = spark.createDataFrame([("a", 1)] * 7 + [(f"o{i}", i) for i in range(168)], "k string, v int")
+    assert [r["key_value"] for r in hot_keys.heavy(df, ["k"], "v", 0.04).collect()] == ["a"]

@@ -112,7 +112,9 @@ def heavy(df: DataFrame, key_columns: Sequence[str], value: str, share: float, p
     shift = bits * ((width - 1) // bits)
     coarse = rows.groupBy(*keys, F.shiftright(v, shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(F.lit(1)).alias("n"))
-    found = cut(totals([coarse], keys).where(F.col("n_rows") >= F.lit(share) * total.scalar()))
+    # a hair less, against a share of a whole number of rows that comes out a bit above it
+    least = F.lit(share * (1 - 1e-12)) * total.scalar()
+    found = cut(totals([coarse], keys).where(F.col("n_rows") >= least))
     ranks = F.explode(F.array(*(F.lit(int(p)) for p in per_cent))).alias("pct")
     rank = F.greatest(F.lit(1), F.floor((F.col("pct") * F.col("n_valued") + 99) / 100)).cast("bigint")
     want = found.where("n_valued > 0").select(*keys, "n_valued", ranks).select(*keys, "pct", rank.alias("rank"), F.lit(0).cast("bigint").alias("prefix"))
