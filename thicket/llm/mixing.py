@@ -38,7 +38,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     most = F.col("available") * F.col("max_repeats")
     if total_tokens is None:
         total = both.where("available > 0").agg(F.min(most / F.col("target_weight")).alias("t"))
-        both = both.join(F.broadcast(total), F.lit(True))  # one row
+        both = both.withColumn("t", total.scalar())
     else:
         both = both.withColumn("t", F.lit(float(total_tokens)))
     # a thousandth of a token against rounding down an exact product

@@ -111,8 +111,10 @@ def pack(sizes: DataFrame, key: str, limits: DataFrame, rounds: int = ROUNDS, pa
     """
     ship(sizes.sparkSession)
     caps = limits.where("capacity_tokens >= 1").select(F.col("pack_id").cast("int"), F.col("capacity_tokens").cast("int").alias("capacity")).dropDuplicates(["pack_id"])
-    # one copy of the items per capacity: the limits are a fixed, small table
-    wide = sizes.select(F.col(key).cast("bigint").alias("item"), "n_tokens").join(F.broadcast(caps), F.lit(True))
+    # one copy of the items per capacity: the limits are a fixed, small table, read to the driver
+    each = [F.struct(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["capacity"]).alias("capacity")) for r in caps.orderBy("pack_id").collect()]
+    each = F.array(*each) if each else F.array().cast("array<struct<pack_id:int,capacity:int>>")
+    wide = sizes.select(F.col(key).cast("bigint").alias("item"), "n_tokens", F.explode(each).alias("_c")).select("item", "n_tokens", "_c.*")
     pieces = F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")))
     cutup = wide.select("pack_id", "capacity", "item", pieces.alias("piece"), F.col("n_tokens").alias("_all"))
     cutup = cutup.withColumn("start", F.col("piece").cast("bigint") * F.col("capacity"))
