@@ -128,7 +128,8 @@ def run_json(matches: DataFrame, files_scanned: int) -> DataFrame:
     item = F.struct("start_line", "start_column", "end_line", "end_column", "kind", preview(F.coalesce("text", F.lit("")), 100).alias("text"))
     per = matches.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("matches"))
     totals = matches.agg(F.count(F.lit(1)).alias("total_matches"), F.countDistinct("path").alias("files_with_matches"))
-    return per.join(F.broadcast(totals), F.lit(True)).select(F.to_json(F.struct(F.lit(files_scanned).alias("files_scanned"), "total_matches", "files_with_matches", "path", "matches")).alias("json"))
+    n, f = totals.select("total_matches").scalar(), totals.select("files_with_matches").scalar()
+    return per.select(F.to_json(F.struct(F.lit(files_scanned).alias("files_scanned"), n.alias("total_matches"), f.alias("files_with_matches"), "path", "matches")).alias("json"))
 
 
 def documents(nodes: DataFrame, files: DataFrame, errors: DataFrame) -> DataFrame:
