@@ -13,8 +13,9 @@ def plain_path(c: Column) -> Column:
 
     A path made of nothing but such steps becomes the empty string. `..` is kept as it is.
     """
-    steps = F.split(F.regexp_replace(c, r"\\", "/"), "/")
-    plain = F.array_join(F.filter(steps, lambda s: (s != "") & (s != ".")), "/")
+    # steps in the middle, at the beginning, at the end, and a single dot
+    plain = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"/(?:\.?/)+", "/")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^(?:\.?/)+", ""), r"(?:/\.?)+$", ""), r"^\.$", "")
     return F.when(c.rlike(r"\\|//|^/|/$|(^|/)\.(/|$)"), plain).otherwise(c)
 
 
