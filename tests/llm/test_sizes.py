@@ -123,3 +123,9 @@ def test_given_total_and_nothing(spark):
     assert shares["docs"]["drawn_tokens"] == 150 and drawn.count() == 15
     drawn, shares = mix(spark, [])
     assert drawn.count() == 0 and shares["docs"]["budget"] == 0
+
+
+def test_copies_are_one_text(spark):
+    df = spark.createDataFrame([(5, "Docs", "x", 3), (2, "docs ", "x", 3), (9, "docs", "y", 4), (1, "code", "x", 3), (7, None, "x", 3)], "doc_id bigint, source string, digest string, n_tokens bigint")
+    got = sorted(map(tuple, mixing.distinct_texts(df, "doc_id", "digest").collect()))
+    assert got == [(1, "code", 3), (2, "docs", 3), (7, None, 3), (9, "docs", 4)]

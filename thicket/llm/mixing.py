@@ -25,6 +25,16 @@ def plain_source(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
+def distinct_texts(sizes: DataFrame, key: str, digest: str) -> DataFrame:
+    """key, source, n_tokens of each distinct text of a source: copies under other keys count as one text.
+
+    The record with the smallest key stands for its copies. Sources are plainly named; a null source
+    is one of its own.
+    """
+    named = sizes.withColumn("source", plain_source(F.col("source")))
+    return named.groupBy("source", digest).agg(F.min(F.struct(F.col(key), F.col("n_tokens"))).alias("_m")).select(f"_m.{key}", "source", "_m.n_tokens")
+
+
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """source, target_weight, max_repeats, available, budget of each target source.
 
@@ -63,8 +73,8 @@ def prefix_take(rows: DataFrame, key: str, room: DataFrame) -> DataFrame:
 def draw(sizes: DataFrame, key: str, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, bucket_rows: int = BUCKET_ROWS, passes: int = PASSES) -> DataFrame:
     """key, source, n_tokens, n_repeats (>= 1) of every record that is drawn.
 
-    `sizes` has key (unique), source and n_tokens >= 1; sources that aren't among the targets and null
-    sources are left out. All records of a source are drawn for every whole epoch of its budget. For
+    `sizes` has key (unique), source and n_tokens >= 1, one row per text (see `distinct_texts`); sources
+    that aren't among the targets and null sources are left out. All records of a source are drawn for every whole epoch of its budget. For
     the rest of the budget records are taken in key order up to the cut; what the record at the cut
     leaves open is filled the same way by later records that fit, `passes` times in all, so a source
     never exceeds its budget and stays below it by less than the record at the last cut. Equal keys are

@@ -155,12 +155,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p8_bins(spark, d), table(spark, d, "pack_limits"))
 
 
+def mixed_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the distinct texts of each source, so that copies don't go beyond a text's repeats."""
+    docs = table(spark, d, "documents").withColumn("digest", F.sha2(F.col("text"), 256))
+    return mixing.distinct_texts(tokens.sizes(docs, "doc_id", "text", "source", "digest"), "doc_id", "digest")
+
+
 def p9_sample(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(document_sizes(spark, d), "doc_id", table(spark, d, "mix_targets"))
+    return mixing.draw(mixed_sizes(spark, d), "doc_id", table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes, targets = document_sizes(spark, d), table(spark, d, "mix_targets")
+    sizes, targets = mixed_sizes(spark, d), table(spark, d, "mix_targets")
     return mixing.shares(mixing.draw(sizes, "doc_id", targets), sizes, targets)
 
 
