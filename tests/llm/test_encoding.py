@@ -71,3 +71,35 @@ def test_candidates_have_the_original(b):
                 except UnicodeDecodeError:
                     continue
                 assert word in er.candidates(bad)
+
+
+@pytest.mark.parametrize(("true", "read"), er.OTHER)
+def test_other_chains_keep_mixed_tokens(true, read):
+    for word in ("JSON-файл", "café", "naïve-Größe", "następną"):
+        try:
+            bad = damage(word, true, read)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if bad != word and not any(c < " " or "\x7f" <= c < "\xa0" for c in word):
+            assert word in er.candidates(bad)
+
+
+def test_searched_chains():
+    assert {("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1250", "cp1251")} <= set(er.OTHER)
+    assert er.candidates("cafй")["café"] == (er.CHAIN_NO["cp1252>cp1251"], 1)
+
+
+def test_mixed_and_dos_damage_is_repaired(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    texts = [*SENTENCES.values(), "JSON-файл не найден HTML-файл слишком большой"]
+    for i in range(30 * len(texts)):
+        words = texts[i % len(texts)].split()
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "a"))
+    cases = [(texts[-1], "cp1251", "latin-1", "b"), (texts[-1], "koi8-r", "latin-1", "c"), (SENTENCES["fr"], "cp1252", "cp1251", "d"), (SENTENCES["de"], "cp850", "cp1252", "e"), (SENTENCES["es"], "cp437", "cp1252", "f")]
+    for text, true, read, source in cases * 6:
+        want[len(rows)] = text
+        rows.append((len(rows), damage(text, true, read), source))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"]: r["restored_text"] for r in er.repair(df, "doc_id", "text", F.col("source")).collect()} == want
