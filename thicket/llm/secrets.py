@@ -49,8 +49,13 @@ HASH = re.compile(r"(?i)^(?:(?:sha\d*|md5|sha3|blake2\w?|crc32)[-:$=].*|\$(?:1|2
 #: Words that make a sentence one about a secret, and what comes last in it the secret itself.
 PROSE = re.compile(r"(?i)\b(?:password|passwd|passphrase|passwort|kennwort|contraseña|contrasena|clave|mot de passe|senha|hasło|haslo|parola d'ordine|пароль|secret|token|api[ -]key|credentials?)\b|密码|密钥|パスワード|秘密鍵")
 SAID = re.compile(r"(?:\b(?:is|was|remains?|still|with|password|passwort|lautet|ist|bleibt|es|sigue siendo|siendo|est|reste|è|rimane|é|continua|to|jest)\b|[:：=]|[是为は])\s*[\"'`«“]?(?P<v>[^\s\"'`«»“”]{6,})[\"'`»”]?\s*[.。]?\s*(?:\*/|-->)?\s*$", re.I)
-#: What a text must hold to be looked at at all, for the JVM's regular expressions.
-MAYBE = r"(?i)pass|pwd|secret|token|key|kennwort|contrase|clave|senha|has[łl]o|парол|密码|密钥|パスワード|credential|auth|://[^\s/@]*:[^\s/@]+@|[?&][a-z_-]+=|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|k_live_|k_test_|SG\.|AIza|ya29\.|npm_|eyJ|log_?in|sign_?in"
+#: What a text must hold to be looked at at all, for the JVM's regular expressions: whatever find() accepts without a
+#: context has one of these parts. The two last words of a name may be split anywhere by digits and signs.
+MAYBE = "(?iu)" + "|".join([
+    "key|pass", *(r"[\p{Nd}_.-]*".join(w) for w in ALONE), "密码|密钥|パスワード|秘密鍵",
+    r"auth|cookie|log_?in|sign_?in|://[^\s/@]*:[^\s/@]+@|[?&][a-z_-]+=",
+    r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|k_live_|k_test_|SG\.|AIza|ya29\.|npm_|pypi-|eyJ",
+])
 
 
 def words_of(name: str) -> list[str]:
