@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thicket.llm import languages as lg
 from thicket.llm import lexing
@@ -82,3 +83,16 @@ def test_found_in_nodes(spark, model):
     got = {r["node_id"]: r["text_lang"] for r in lg.main_language(lg.find_phrases(df, ["file_id", "node_id"], "text", "language", model), ["file_id", "node_id"]).collect()}
     assert got == {1: "en", 5: "de", 6: "fr"}
     assert lg.find_phrases(df.limit(0), ["file_id"], "text", "language", model).count() == 0
+
+
+def test_every_text_with_a_phrase_is_looked_at(spark):
+    rng = random.Random(6)
+    parts = ["Loaded", "from", "cache", "é", "l'état", "x_1", "file2", "{0}", "{item_1}", "${user_2}", "`x_1`", "%5d", "%s", "<b>", "</br>", "\\n", "\\t", "\\u00e9", "日", "本語", "\n", " ", " ", " ", " ", "　", ", ", ". ", "²", "_", "7"]
+    texts = ['"Loaded {0} from cache"', "loaded{item_1}from`x_1`cache", "one\\ntwo\\nthree", "日\n本\n語\n文\n字\n列", "# a ² b", "ein paar Worte"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(3, 14))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    seen = {r["id"] for r in df.where(F.col("text").rlike(lg.MAYBE)).collect()}
+    want = {i for i, t in enumerate(texts) if lg.phrases(t)}
+    assert {0, 1, 2, 3, 5} <= want <= seen and len(want) > 200
+    few = ["", "one two", '"snake_case_name"', "camelCaseName", "a1b2c3d4", "日本", "x" * 300_000]
+    assert spark.createDataFrame([(t,) for t in few], "text string").where(F.col("text").rlike(lg.MAYBE)).isEmpty()

@@ -252,7 +252,10 @@ def spans_of_text(text: str, fam: str) -> list[str]:
     return [text[i:j] for _, i, j in spans] or [text]
 
 
-MAYBE = rf"(?:[\p{{L}}][\p{{L}}\p{{M}}'’-]*[^\p{{L}}\p{{N}}_]+){{2}}[\p{{L}}]|[{CJK}].*[{CJK}]|\\[uxU]"
+# Word characters, and what may part two words of a phrase before phrases() takes code and escapes out: white space, or what such a piece starts with.
+W, S = r"\p{L}\p{Nl}\p{No}", r"\s\x1C-\x1F\x85\p{Z}`{%<\\"
+#: What a text must hold to have a phrase, for the JVM's regular expressions: words and gaps in turn, enough signs, or an escape.
+MAYBE = rf"\A[^{W}]*+(?:[{W}][^{S}]*+[{S}][^{W}]*+){{{LEAST_WORDS - 1}}}[{W}]|(?:[{CJK}][^{CJK}]*+){{{LEAST_CJK}}}|\\[uxU]"
 
 
 def find_phrases(df: DataFrame, keys: list[str], text: str, language: str, model: Classifier, size: int = lexing.CHUNK) -> DataFrame:
