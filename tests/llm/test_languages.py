@@ -96,3 +96,14 @@ def test_every_text_with_a_phrase_is_looked_at(spark):
     assert {0, 1, 2, 3, 5} <= want <= seen and len(want) > 200
     few = ["", "one two", '"snake_case_name"', "camelCaseName", "a1b2c3d4", "日本", "x" * 300_000]
     assert spark.createDataFrame([(t,) for t in few], "text string").where(F.col("text").rlike(lg.MAYBE)).isEmpty()
+
+
+def test_size_of_chunks_changes_nothing(spark):
+    rng = random.Random(8)
+    plain = "no delimiters in this text at all just words and words " * 9
+    rows = [(i, "".join(rng.choice([*PIECES, "word word ", "\n"]) for _ in range(rng.randint(1, 400))), rng.choice(["python", "go", None])) for i in range(60)]
+    rows += [(90, None, "go"), (91, "", "go"), (92, plain, "go"), (93, f"/* {plain}*/ x = 1; // {plain}\ny = \"{plain}\"", "go"), (94, plain, None), (94, plain[3:], "go"), (95, "x = 1; " * 60 + "// last words here", "go")]
+    df = spark.createDataFrame(rows, "file_id bigint, content string, language string")
+    got = {size: sorted(tuple(r) for r in lexing.inner_texts(df, ["file_id"], "content", "language", size).collect()) for size in (30, 200, 1 << 18)}
+    assert got[30] == got[200] == got[1 << 18]
+    assert (92, 0, lexing.CODE, plain) in got[30] and sum(r[0] == 94 for r in got[30]) == 2

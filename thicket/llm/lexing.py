@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Lexer states. A state other than CODE is left by the end pattern below.
 CODE, LINE, BLOCK, DOUBLE, SINGLE, TEMPLATE, DOUBLE3, SINGLE3 = range(8)
 ENDS = {
@@ -122,11 +124,14 @@ def start_states(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def inner_texts(df: DataFrame, keys: list[str], text: str, language: str, size: int = CHUNK) -> DataFrame:
     """keys, start, state, inner: the insides of comments and strings; a text without any comes whole (state CODE).
 
-    Texts of one chunk are lexed as they are; longer ones go through the parallel prefix, and a span
-    over a chunk border comes in pieces, cut where no delimiter is. Null and empty texts have no row.
+    Texts of one chunk are lexed as they are; longer ones go through the parallel prefix, and the
+    pieces of a span over chunk borders are joined, so the rows don't depend on `size`. Null and
+    empty texts have no row; rows must be distinct.
     """
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{head}, start int, state int, inner string"
+    # texts of several rows with the same keys are told apart
+    ids = [*keys, "_text_no"]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -139,14 +144,28 @@ def inner_texts(df: DataFrame, keys: list[str], text: str, language: str, size:
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for *ids, fam, at, chunk, state in b[[*keys, "fam", "at", "chunk", "state"]].itertuples(index=False, name=None):
-                rows.extend((*ids, at + i, s, chunk[i:j]) for s, i, j in scan(chunk, state, fam)[1])
-            yield pd.DataFrame(rows, columns=[*keys, "start", "state", "inner"])
+            for *names, fam, at, chunk, state in b[[*ids, "fam", "at", "chunk", "state"]].itertuples(index=False, name=None):
+                after, spans = scan(chunk, state, fam)
+                # a chunk without a span stands by for a text without any
+                for s, i, j in spans or [(CODE, 0, len(chunk))]:
+                    goes_on = at > 0 and i == 0
+                    rows.append((*names, at + i, s, chunk[i:j], goes_on, goes_on or j == len(chunk) and after == s))
+            yield pd.DataFrame(rows, columns=[*ids, "start", "state", "inner", "goes_on", "open"])
 
     rows = df.select(*keys, text, language).where(F.length(text) > 0)
     short = rows.where(F.length(text) <= size).mapInPandas(whole, schema)
     long = rows.where(F.length(text) > size)
     if long.isEmpty():
         return short
-    chunks = chunks_of(long, keys, text, language, size)
-    return short.unionByName(start_states(chunks, keys).mapInPandas(pieces, schema))
+    long = long.withColumn("_text_no", F.xxhash64(text, language))
+    chunks = start_states(chunks_of(long, ids, text, language, size), ids)
+    found = cut(chunks.mapInPandas(pieces, f"{head}, _text_no bigint, start int, state int, inner string, goes_on boolean, open boolean"))
+    spans = found.where(F.col("state") != CODE)
+    bare = found.join(spans.select(*ids).distinct(), ids, "left_anti")
+    parts = spans.where("open").unionByName(bare)
+    # the window has a row per chunk border, without its text
+    first = F.max(F.when(~F.col("goes_on"), F.col("start"))).over(Window.partitionBy(*ids).orderBy("start"))
+    owner = parts.select(*ids, "start", "goes_on").withColumn("first", first).drop("goes_on")
+    joined = parts.join(owner, [*ids, "start"]).groupBy(*ids, "first").agg(F.first("state").alias("state"), F.array_sort(F.collect_list(F.struct("start", "inner"))).alias("_p"))
+    joined = joined.select(*keys, F.col("first").alias("start"), "state", F.array_join(F.col("_p.inner"), "").alias("inner"))
+    return short.unionByName(spans.where("not open").select(*keys, "start", "state", "inner")).unionByName(joined)
