@@ -350,6 +350,13 @@ def sarif_results(spark: SparkSession, d: str) -> DataFrame:
     return sinks.sarif_results(findings(spark, d).where("snapshot_no = 1")).select("level", "rule_id", "uri", "start_line", "start_column", "end_column", "byte_offset", "byte_length")
 
 
+@query(f"select snapshot_no, case lower(trim(coalesce(severity, 'warning'))) when 'error' then 'error' when 'warning' then 'warning' else 'note' end as level, rule_id, {URI} as uri, start_line, start_column + 1 start_column, end_column + 1 end_column, start_offset byte_offset, greatest(end_offset - start_offset, 0) byte_length from findings")
+def sarif_results_by_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Results of all snapshots, one log each; sarif_results has the first one's."""
+    f = findings(spark, d)
+    return sinks.sarif_results(f, "snapshot_no").select("snapshot_no", "level", "rule_id", "uri", "start_line", "start_column", "end_column", "byte_offset", "byte_length")
+
+
 @query(f"select {URI} as uri, min(start_line) first_line, count(*) n_results from findings group by all")
 def sarif_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return sinks.sarif_artifacts(findings(spark, d))

@@ -48,10 +48,10 @@ def json_lines(findings: DataFrame, detailed: bool = False) -> DataFrame:
     return findings.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "severity", "message", location.alias("location"), *more)).alias("json"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """Results as rows: rule_id, level, message, uri, region (columns from 1, bytes)."""
+def sarif_results(findings: DataFrame, *keys: str) -> DataFrame:
+    """Results as rows: `keys` (of the log), rule_id, level, message, uri, region (columns from 1, bytes)."""
     uri = F.replace(F.coalesce("file_path", F.lit("stdin")), F.lit("\\"), F.lit("/"))
-    return findings.select("rule_id", sarif_level(F.col("severity")).alias("level"), "message", uri.alias("uri"), "start_line", (F.col("start_column") + 1).alias("start_column"), "end_line", (F.col("end_column") + 1).alias("end_column"), F.col("start_offset").alias("byte_offset"), F.greatest(F.col("end_offset") - F.col("start_offset"), F.lit(0)).alias("byte_length"), *[c for c in ("fix", "captures") if c in findings.columns])
+    return findings.select(*keys, "rule_id", sarif_level(F.col("severity")).alias("level"), "message", uri.alias("uri"), "start_line", (F.col("start_column") + 1).alias("start_column"), "end_line", (F.col("end_column") + 1).alias("end_column"), F.col("start_offset").alias("byte_offset"), F.greatest(F.col("end_offset") - F.col("start_offset"), F.lit(0)).alias("byte_length"), *[c for c in ("fix", "captures") if c in findings.columns])
 
 
 def sarif_artifacts(findings: DataFrame) -> DataFrame:
