@@ -72,3 +72,10 @@ def test_every_accepted_text_is_looked_at(spark):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id int, text string, context string")
     assert {r["id"] for r in sc.credentials(df, ["id"], "text", "context", WORDS).collect()} == want
     assert len(want) > 0.8 * len(texts)
+
+
+def test_long_literals_are_read_to_their_end():
+    words = "ledger-quota-" * 40
+    assert sc.find(f'password = "{words}x9!kk2#Qz"', None, WORDS) and not sc.find(f'password = "{words}meter"', None, WORDS)
+    first, second = words[:260], words[260:]
+    assert sc.find(f'password = "{first}" + "{second}x9!kk2#Qz"', None, WORDS)

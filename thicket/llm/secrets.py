@@ -114,7 +114,7 @@ def is_secret(value: str, words: Dictionary, least: int = LEAST_RESIDUAL) -> boo
     v = value.strip()
     if len(v) < 6 or PLACEHOLDER.match(v) or REFERENCE.search(v) or HASH.match(v):
         return False
-    return words.residual(v[:400]) >= least
+    return words.residual(v) >= least
 
 
 def quoted_value(m: re.Match) -> tuple[str, int, int]:
