@@ -97,3 +97,13 @@ def test_faults(spark):
     got = {r["file_id"]: r["fault"] for r in syntax.faults(df, "file_id", "path", "content").collect()}
     assert set(got) == {1, 2, 6, 7, 8, 9} and {k for k, v in got.items() if v} == {2, 6, 9} and got[9] == "pair"
     assert syntax.faults(df.limit(0), "file_id", "path", "content").count() == 0
+
+
+def test_packed_library_copies_are_third_party(spark):
+    lib = "\n".join(f"function probe{i}(left, right) {{ return left.scan{i}(right); }}" for i in range(60))
+    other = lib.replace("probe", "gauge").replace("left", "upper").replace("right", "lower").replace("scan", "fold")
+    pack = lambda t: t.replace("\n", "").replace(" { ", "{").replace("; }", "}").replace(", ", ",")
+    files = spark.createDataFrame([(1, "src/a.js", pack(lib)), (2, "src/b.js", pack(other))], "file_id bigint, path string, content string")
+    libs = spark.createDataFrame([("probes", lib)], "lib string, content string")
+    got = {r["file_id"]: (r["origin"], r["evidence"]) for r in so.origins(files, "file_id", "path", "content", libs, F.col("lib"), "content").collect()}
+    assert got == {1: ("third_party", "library probes"), 2: ("packed", "layout")}

@@ -54,7 +54,7 @@ REPEATED, LEAST_LINES = 0.75, 12
 LITERALS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\b|-?\b[0-9][0-9_.eE+]*[a-zA-Z]?\b"
 #: Word shingles: words of a shingle, least similarity, least number of shingles of a file that can be compared.
 SHINGLE, SIMILAR, LEAST_SHINGLES = 5, 0.8, 8
-#: Largest library table that is broadcast, in shingles; a larger one is joined instead.
+#: Largest library table that is broadcast, in shingles; a larger one is refused with an error.
 LIBRARY_BOUND = 2_000_000
 
 
@@ -192,11 +192,10 @@ def origins(files: DataFrame, key: str, path: str, text: str, libraries: DataFra
                 if notice(t):
                     out.append((k, "generated", "notice"))
                     continue
-                if lay is None:
-                    i, s = best_library(t, index, sizes)
-                    if s >= SIMILAR:
-                        out.append((k, "third_party", f"library {names[i]}"))
-                        continue
+                i, s = best_library(t, index, sizes)
+                if s >= SIMILAR:
+                    out.append((k, "third_party", f"library {names[i]}"))
+                    continue
                 if lay is not None:
                     out.append((k, lay, "layout"))
             yield pd.DataFrame(out, columns=[key, "origin", "evidence"])
