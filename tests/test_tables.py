@@ -155,3 +155,64 @@ def test_nested_tables(spark):
 def test_share_is_inclusive(spark):
     df = spark.createDataFrame([("a", 1)] * 7 + [(f"o{i}", i) for i in range(168)], "k string, v int")
     assert [r["key_value"] for r in hot_keys.heavy(df, ["k"], "v", 0.04).collect()] == ["a"]
+
+
+def test_record_delivered_very_often(spark):
+    rows = [(1, "hot", i % 7, "x") for i in range(3000)] + [(2, "hot", 1, "y"), (1, "cold", 1, "z")]
+    df = spark.createDataFrame(rows, "no int, k string, at int, v string")
+    state = snapshots.latest_by_snapshot(df, F.col("no"), [1, 2], {"k": F.col("k")}, F.col("at"), snapshots.canonical_hash([F.col("v")]))
+    got = {(r["k"], r["change"]) for r in snapshots.diff_snapshots(state, "snapshot_no", ["k"]).collect()}
+    assert got == {("hot", "changed"), ("cold", "removed")}
+    assert snapshots.latest_by_snapshot(df.limit(0), F.col("no"), [], {"k": F.col("k")}, F.col("at"), F.lit(b"")).count() == 0
+
+
+def test_deep_documents(spark):
+    depth = 100_000
+    doc = '{"root":' + '{"kind":"A","children":[' * depth + '{"kind":"B","properties":{"x":[1,{"y":"z"}]},"span":{"startLine":9999999999}}' + "]}" * depth + "}"
+    wrapped = doc
+    for _ in range(5):
+        wrapped = json.dumps(wrapped)
+    df = spark.createDataFrame([(1, 1, wrapped), (2, 1, doc), (2, 2, doc[:-1]), (3, 1, '{"root": {"children": [')], "t bigint, at int, doc string")
+    n = nested.flat_nodes(df, "t", F.col("at"), "doc", ("node_no", "parent_no", "last_no", "post_no", "kind", "properties", "start_line"))
+    last = {r["t"]: r for r in n.where(f"node_no = {depth}").collect()}
+    assert set(last) == {1, 2} and n.count() == 2 * (depth + 1)
+    assert all((r["parent_no"], r["post_no"], r["kind"], r["start_line"]) == (depth - 1, 0, "B", 9999999999) for r in last.values())
+    assert last[1]["properties"] == {"x": '[1, {"y": "z"}]'}
+
+
+def test_deep_reader_agrees():
+    rng = random.Random(5)
+
+    def value(d=0):
+        x = rng.random()
+        if d > 4 or x < 0.4:
+            return rng.choice([None, True, False, 0, -1.5e10, 12345678901234567890, "", 'a"\\\né', "]{"])
+        return [value(d + 1) for _ in range(rng.randint(0, 3))] if x < 0.7 else {rng.choice("abc\n\""): value(d + 1) for _ in range(rng.randint(0, 3))}
+
+    for _ in range(300):
+        v = value()
+        for text in (json.dumps(v), json.dumps(v, indent=1)):
+            assert nested.read_deep(text) == v
+            assert nested.write_deep(v) == json.dumps(v, ensure_ascii=False, sort_keys=True)
+            for bad in (text[:-1], text + "]", text.replace(",", "", 1), text.replace(":", ",", 1)):
+                try:
+                    want = json.loads(bad)
+                except ValueError:
+                    with pytest.raises(ValueError):
+                        nested.read_deep(bad)
+                else:
+                    assert nested.read_deep(bad) == want
+
+
+def test_within_agrees_with_all_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for t in range(12):
+        rows += [(t, n, last, rng.choice("FGH")) for n, _, last, _ in label(random_doc(rng))]
+    rows += rows[:20]
+    n = spark.createDataFrame(rows, "t int, node_no int, last_no int, kind string")
+    for o, i in (("F", "G"), ("F", "F")):
+        got = sorted((r["t"], r["outer_no"], r["inner_no"]) for r in nested.within(nested.kind_table(n, i), nested.kind_table(n, o), "t").collect())
+        want = sorted({(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[3] == o and b[3] == i and a[1] < b[1] <= a[2]})
+        assert got == want and got
+    assert nested.within(n.limit(0), n.limit(0), "t").count() == 0

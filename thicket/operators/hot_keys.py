@@ -9,7 +9,8 @@ is left. A window or join group never has more than 2**bits rows, whatever the n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +34,16 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return cond
 
 
-def histograms(df: DataFrame, keys: Sequence[str], value: str, width: int = 32, bits: int = BITS) -> list[DataFrame]:
-    """Counts per key and bucket, finest first: columns `keys`, `bucket`, `n`.
+def histograms(df: DataFrame, keys: Sequence[str], value: str, width: int = 32, bits: int = BITS, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> list[DataFrame]:
+    """Counts per key and bucket, finest first: columns `keys`, `bucket`, `n`; `keep` may materialise each.
 
     `value` must be an integer of at most `width` bits; a null value counts in the bucket null of
     every level and never ranks.
     """
     v = F.col(value).cast("bigint") + F.lit(1 << (width - 1))
-    levels = [df.groupBy(*keys, v.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))]
+    levels = [keep(df.groupBy(*keys, v.alias("bucket")).agg(F.count(F.lit(1)).alias("n")))]
     for _ in range((width - 1) // bits):
-        levels.append(levels[-1].groupBy(*keys, F.shiftright("bucket", bits).alias("bucket")).agg(F.sum("n").alias("n")))
+        levels.append(keep(levels[-1].groupBy(*keys, F.shiftright("bucket", bits).alias("bucket")).agg(F.sum("n").alias("n"))))
     return levels
 
 
@@ -83,10 +84,11 @@ def profile(df: DataFrame, key_columns: Sequence[str], value: str, per_cent: Seq
 
     Columns key_column, key_value, n_rows, n_valued, q<p>... A null key is a key of its own (null
     key_value); keys without any value have null quantiles. An empty table gives no row. Only the
-    named columns are read, so further columns with any name do no harm.
+    named columns are read, so further columns with any name do no harm. The rows are counted once;
+    what is kept and merged further are the counts per key and value.
     """
     keys = ["key_column", "key_value"]
-    levels = histograms(long_keys(df.select(*dict.fromkeys([*key_columns, value])), key_columns, [value]), keys, value)
+    levels = histograms(long_keys(df.select(*dict.fromkeys([*key_columns, value])), key_columns, [value]), keys, value, keep=cut)
     n = totals(levels, keys)
     q = exact_quantiles(levels, keys, per_cent)
     wide = q.groupBy(*keys).agg(*(F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"q{p}") for p in per_cent))
@@ -95,40 +97,67 @@ def profile(df: DataFrame, key_columns: Sequence[str], value: str, per_cent: Seq
     return n.join(wide, cond, "left").drop("_key_column", "_key_value")
 
 
-def heavy(df: DataFrame, key_columns: Sequence[str], value: str, share: float, per_cent: Sequence[int] = (25, 50, 75), width: int = 32, bits: int = BITS) -> DataFrame:
-    """Non-null key values that hold at least `share` of all rows, with exact quantiles of `value`.
+def select_ranks(rows: DataFrame, keys: Sequence[str], value: Column, want: DataFrame, width: int = 32, bits: int = BITS) -> DataFrame:
+    """keys, tag, value: for each row of `want` (keys, tag, rank) the value of that rank among the key's rows.
 
-    Columns key_column, key_value, n_rows, n_valued, q<p>. Each pass over the rows makes one
-    histogram per open (key, prefix) and refines it by `bits` bits: the first has the leading bits of
-    all keys, whose counts add up to the rows per key; the others only see the heavy keys. There are
-    at most 1 / share heavy keys per key column and one open prefix per quantile, so the broadcast
-    set of open prefixes is bounded by len(key_columns) * len(per_cent) / share rows. A histogram row
-    stands for a key and bucket, so a hot key sends at most 2**bits counts per task. A heavy key
-    without any value has null quantiles. An empty table gives no row.
+    `value` is a bigint from 0 to 2**width - 1 and never null. From the leading bits down, each pass
+    over the rows counts, for every key and open prefix, how many rows fall into each of its 2**bits
+    buckets; the counts merge map-side, and the bucket that holds the rank becomes the next prefix.
+    After the last pass a bucket is one value. `want` must be of a bounded size: its prefixes are
+    broadcast. Keys must not be null.
     """
-    keys = ["key_column", "key_value"]
-    rows = long_keys(df.select(*dict.fromkeys([*key_columns, value])), key_columns, [value]).where("key_value is not null")
-    v = F.col(value).cast("bigint") + F.lit(1 << (width - 1))
     shift = bits * ((width - 1) // bits)
-    coarse = rows.groupBy(*keys, F.shiftright(v, shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(F.lit(1)).alias("n"))
-    # a hair less, against a share of a whole number of rows that comes out a bit above it
-    least = F.lit(share * (1 - 1e-12)) * total.scalar()
-    found = cut(totals([coarse], keys).where(F.col("n_rows") >= least))
-    ranks = F.explode(F.array(*(F.lit(int(p)) for p in per_cent))).alias("pct")
-    rank = F.greatest(F.lit(1), F.floor((F.col("pct") * F.col("n_valued") + 99) / 100)).cast("bigint")
-    want = found.where("n_valued > 0").select(*keys, "n_valued", ranks).select(*keys, "pct", rank.alias("rank"), F.lit(0).cast("bigint").alias("prefix"))
-    inside = Window.partitionBy(*keys, "pct", "prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    want = want.select(*keys, "tag", F.col("rank").cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("prefix"))
+    inside = Window.partitionBy(*keys, "tag", "prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    first = True
     while shift >= 0:
         open_ = F.broadcast(want.select(*keys, "prefix").distinct())
-        digits = rows.where(F.col(value).isNotNull()).select(*keys, F.shiftright(v, shift).alias("bucket"))
-        digits = digits.withColumn("prefix", F.shiftright("bucket", bits) if shift + bits < width else F.lit(0).cast("bigint"))
+        digits = rows.select(*keys, F.shiftright(value, shift).alias("bucket"))
+        digits = digits.withColumn("prefix", F.lit(0).cast("bigint") if first else F.shiftright("bucket", bits))
         level = digits.join(open_, [*keys, "prefix"], "left_semi").groupBy(*keys, "prefix", "bucket").agg(F.count(F.lit(1)).alias("n"))
         step = want.join(level, [*keys, "prefix"]).withColumn("_cum", F.sum("n").over(inside)).where("_cum >= rank and _cum - n < rank")
-        want = cut(step.select(*keys, "pct", (F.col("rank") - (F.col("_cum") - F.col("n"))).alias("rank"), F.col("bucket").alias("prefix")))
-        shift -= bits
-    value_of = F.col("prefix") - F.lit(1 << (width - 1))
-    wide = want.groupBy(*keys).agg(*(F.max(F.when(F.col("pct") == p, value_of)).alias(f"q{p}") for p in per_cent))
+        want = cut(step.select(*keys, "tag", (F.col("rank") - (F.col("_cum") - F.col("n"))).alias("rank"), F.col("bucket").alias("prefix")))
+        shift, first = shift - bits, False
+    return want.select(*keys, "tag", F.col("prefix").alias("value"))
+
+
+#: Bits of the hash by which keys are put in order to find the heavy ones.
+HASH_BITS = 33
+
+
+def heavy(df: DataFrame, key_columns: Sequence[str], value: str, share: float, per_cent: Sequence[int] = (25, 50, 75), width: int = 32, bits: int = BITS) -> DataFrame:
+    """Non-null key values that hold at least `share` of all rows, with exact quantiles of `value`.
+
+    Columns key_column, key_value, n_rows, n_valued, q<p>. In the order of the keys' hashes, a key with
+    that many rows covers a whole run of ranks that long, so one of the ranks m, 2 m, 3 m, ... lies in
+    it, m being the least number of rows. `select_ranks` finds the hashes at those ranks; keys with
+    such a hash are counted exactly, and those with m rows or more stay. The quantiles of their
+    values come from `select_ranks` again. No pass ever shuffles all keys or gathers a key's rows:
+    a task sends at most 2**bits counts per open prefix, of which there are at most
+    len(key_columns) / share, and three per heavy key later. A heavy key without any value has null
+    quantiles. An empty table gives no row.
+    """
+    keys = ["key_column", "key_value"]
+    rows = long_keys(df.select(*dict.fromkeys([*key_columns, value])), key_columns, [value]).where("key_value is not null")
+    rows = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("key_value"), 64 - HASH_BITS))
+    n_all, *n_keys = df.select(F.count(F.lit(1)), *(F.count(c) for c in key_columns)).first()
+    # a hair less, against a share of a whole number of rows that comes out a bit above it
+    least = max(1, math.ceil(share * n_all * (1 - 1e-12)))
+    ranks = [(c, k, k * least) for c, n in zip(key_columns, n_keys) for k in range(1, n // least + 1)]
+    want = df.sparkSession.createDataFrame(ranks, "key_column string, tag int, rank bigint")
+    at = select_ranks(rows, ["key_column"], F.col("_hash"), want, HASH_BITS, bits)
+    candidates = F.broadcast(at.select("key_column", F.col("value").alias("_hash")).distinct())
+    counted = rows.join(candidates, ["key_column", "_hash"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_valued"))
+    found = counted.where(F.col("n_rows") >= least)
+    if not per_cent:
+        return found
+    found = cut(found)
+    tags = F.explode(F.array(*(F.lit(int(p)) for p in per_cent))).alias("tag")
+    rank = F.greatest(F.lit(1), F.floor((F.col("tag") * F.col("n_valued") + 99) / 100)).cast("bigint")
+    want = found.where("n_valued > 0").select(*keys, "n_valued", tags).select(*keys, "tag", rank.alias("rank"))
+    offset = F.lit(1 << (width - 1))
+    at = select_ranks(rows.where(F.col(value).isNotNull()), keys, F.col(value).cast("bigint") + offset, want, width, bits)
+    wide = at.groupBy(*keys).agg(*(F.max(F.when(F.col("tag") == p, F.col("value") - offset)).alias(f"q{p}") for p in per_cent))
     return found.join(wide, keys, "left")
 
 

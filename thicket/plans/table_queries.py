@@ -20,7 +20,11 @@ def severity():
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys.heavy(table(spark, d, "findings"), KEYS, "start_line", HEAVY).select("key_column", "key_value")
+    return hot_keys.heavy(table(spark, d, "findings"), KEYS, "start_line", HEAVY, ()).select("key_column", "key_value")
+
+
+def p2_heavy_profile(spark: SparkSession, d: str) -> DataFrame:
+    return hot_keys.heavy(table(spark, d, "findings"), KEYS, "start_line", HEAVY)
 
 
 def p2_key_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -61,24 +65,21 @@ def finding_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "findings").where("snapshot_no is not null and rule_id is not null and file_path is not null and start_line is not null and start_column is not null")
 
 
-def finding_states(spark: SparkSession, d: str) -> DataFrame:
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
     f = finding_rows(spark, d)
-    group = {"snapshot_no": F.col("snapshot_no"), "rule_id": F.col("rule_id"), "file_path": snapshots.plain_path(F.col("file_path")), "start_line": F.col("start_line"), "start_column": F.col("start_column")}
+    numbers = snapshots.snapshot_numbers(f, "snapshot_no")
+    keys = {"rule_id": F.col("rule_id"), "file_path": snapshots.plain_path(F.col("file_path")), "start_line": F.col("start_line"), "start_column": F.col("start_column")}
     message = F.regexp_replace("message", r"\s+$", "")
     digest = snapshots.canonical_hash([severity(), message, *(F.col(c) for c in LOCATION[2:]), F.coalesce(F.col("fix"), F.lit(""))])
-    return snapshots.latest_rows(f, group, F.col("ingested_at"), digest, FINDING_KEY)
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    numbers = finding_rows(spark, d).select(F.col("snapshot_no").alias("_n")).distinct()
-    return snapshots.diff_snapshots(finding_states(spark, d), "snapshot_no", FINDING_KEY, numbers=numbers)
+    states = snapshots.latest_by_snapshot(f, F.col("snapshot_no"), numbers, keys, F.col("ingested_at"), digest)
+    return snapshots.diff_snapshots(states, "snapshot_no", FINDING_KEY, numbers=numbers)
 
 
 def p6_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("from_no", "to_no", "rule_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_key_profile, p2_key_severities, p2_key_locations, p4_found, p4_nodes, p4_properties, p4_calls_in_functions, p6_found, p6_change_counts)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_heavy_profile, p2_key_profile, p2_key_severities, p2_key_locations, p4_found, p4_nodes, p4_properties, p4_calls_in_functions, p6_found, p6_change_counts)}
 
 KEYED = "(select 'rule_id' key_column, rule_id key_value, * from findings union all select 'file_path', file_path, * from findings)"
 RANKED = f"""(select key_column, key_value, start_line, count(*) over w n_rows, count(start_line) over w n_valued,
@@ -95,7 +96,14 @@ diff as (select coalesce(o.snapshot_no, w.snapshot_no - 1) from_no, coalesce(o.s
     when (o.s, o.m, o.end_line, o.end_column, o.start_offset, o.end_offset, o.f) is distinct from (w.s, w.m, w.end_line, w.end_column, w.start_offset, w.end_offset, w.f) then 'changed' end change
   from states o full join states w on w.snapshot_no = o.snapshot_no + 1 and w.rule_id = o.rule_id and w.file_path = o.file_path and w.start_line = o.start_line and w.start_column = o.start_column)"""
 
+PROFILE = (
+    "select key_column, key_value, any_value(n_rows) n_rows, any_value(n_valued) n_valued, "
+    + ", ".join(f"max(start_line) filter (rn = greatest(1, ({p} * n_valued + 99) // 100) and n_valued > 0) q{p}" for p in (25, 50, 75))
+    + f" from {RANKED} group by key_column, key_value"
+)
+
 SQL = {
+    "p2_heavy_profile": f"select * from ({PROFILE}) where key_value is not null and n_rows >= 0.04 * (select count(*) from findings)",
     "p2_found": "select * from (select 'rule_id' key_column, rule_id key_value from findings group by rule_id having count(*) >= 0.04 * (select count(*) from findings) union all select 'file_path', file_path from findings group by file_path having count(*) >= 0.04 * (select count(*) from findings)) where key_value is not null",
     "p2_key_profile": f"select key_column, key_value, any_value(n_rows) n_rows, any_value(n_valued) n_valued, "
     + ", ".join(f"max(start_line) filter (rn = greatest(1, ({p} * n_valued + 99) // 100) and n_valued > 0) q{p}" for p in (25, 50, 75))
