@@ -34,7 +34,7 @@ def test_clean(text, context):
 def test_redaction_keeps_the_rest():
     text = 'a = 1\npassword = "ledger-quota-38"  # é\nb'
     out = sc.redact(text, sc.find(text, None, WORDS))
-    assert out == 'a = 1\npassword = "<redacted>"  # é\nb'
+    assert out == 'a = 1\npassword = "REDACTED"  # é\nb'
     for t, c in FOUND:
         spans = sc.find(t, c, WORDS)
         red = sc.redact(t, spans)
@@ -57,7 +57,7 @@ def test_rows(spark):
     near = nodes.join(sc.node_contexts(nodes), ["file_id", "node_id"], "left")
     words = sc.dictionary(nodes.where("kind = 'Identifier'"), F.col("text"))
     got = [(r["node_id"], r["redacted"]) for r in sc.credentials(near, ["node_id"], "text", "context", words).collect()]
-    assert got == [(2, '"<redacted>"')]
+    assert got == [(2, '"REDACTED"')]
     assert sc.credentials(near.limit(0), ["node_id"], "text", "context", words).count() == 0
 
 
@@ -79,3 +79,43 @@ def test_long_literals_are_read_to_their_end():
     assert sc.find(f'password = "{words}x9!kk2#Qz"', None, WORDS) and not sc.find(f'password = "{words}meter"', None, WORDS)
     first, second = words[:260], words[260:]
     assert sc.find(f'password = "{first}" + "{second}x9!kk2#Qz"', None, WORDS)
+
+
+def test_a_long_residual_decides_next_to_any_name():
+    assert sc.find('cfg = "q8Zx7Lk2Pq9vTn4RbY1wHs6d"', None, WORDS) and sc.find("'q8Zx7Lk2Pq9vTn4RbY1wHs6d'", "cfg", WORDS)
+    # words, short residuals, hashes, ids, data and paths aren't secrets there
+    for v in ("ledger-quota-38", "Meter2281!", "5f2c1a90-1234-4bcd-9abc-0123456789ab", "a047f9a0a5abb83c9348ec5de77beb41", "sha512-gyldTiewSaabp6d1ix2Dis053WjjYUujVoIev2p1arEW73LqkUvRH2oC==", "https://a.b/Qy2eJENxEg99Qy2eJENxEg99", "../lib/Qy2eJENxEg99Qy2eJENxEg99"):
+        assert not sc.find(f'cfg = "{v}"', None, WORDS), v
+    assert not sc.find('commit_id = "q8Zx7Lk2Pq9vTn4RbY1wHs6d"', None, WORDS) and not sc.find('icon: "data:image/png;base64,q8Zx7Lk2Pq9vTn4RbY1wHs6d"', None, WORDS)
+
+
+def test_no_secret_without_a_residual():
+    """The residual decides in every place: words alone are no secret, whatever stands beside them."""
+    for text in ('password = "ledger-quota"', '"postgres://probe:ledger@db.x:1/q"', "client.login('user', 'meter')", "# the password is ledger-quota", '"https://a.b/hook?sig=ledger-quota"'):
+        assert not sc.find(text, None, WORDS), text
+    assert sc.find('password = "ledgerquotameterprobe"', None, WORDS) and WORDS.residual("ledgerQuotaMeterProbe") == 0
+    assert sc.find('pwd = "x1"', None, WORDS) and not sc.find("token = 727", None, WORDS)
+
+
+def test_mask_fits_anywhere():
+    import json
+    import xml.etree.ElementTree as tree
+
+    text = '<db password="k3Zq9vTn4R"/>'
+    assert tree.fromstring(sc.redact(text, sc.find(text, None, WORDS))).get("password") == "REDACTED"
+    text = '{"password": "k3Zq9vTn4R"}'
+    assert json.loads(sc.redact(text, sc.find(text, None, WORDS))) == {"password": "REDACTED"}
+
+
+def test_dictionary_has_every_frequent_word(spark):
+    names = spark.createDataFrame([(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}",) for i in range(400)] * 3 + [("ledgerQuota",)] * 5, "n string")
+    d = sc.dictionary(names, F.col("n"))
+    assert {"ledger", "quota", "wordab"} <= set(d.cost)
+    assert "wordab" not in sc.dictionary(names, F.col("n"), share=0.003).cost
+
+
+def test_any_name_in_neighbouring_nodes(spark):
+    rows = [(1, 0, None, None, "VariableDeclaration", "cfg", None), (1, 1, 0, 0, "Identifier", None, "cfg"), (1, 2, 0, 1, "StringLiteral", None, '"q8Zx7Lk2Pq9vTn4RbY1wHs6d"'), (1, 3, 0, 2, "StringLiteral", None, '"ledger-quota-38"')]
+    nodes = spark.createDataFrame(rows, "file_id bigint, node_id int, parent_id int, sib_idx int, kind string, name string, text string")
+    near = nodes.join(sc.node_contexts(nodes), ["file_id", "node_id"], "left")
+    assert [r["node_id"] for r in sc.credentials(near, ["node_id"], "text", "context", WORDS).collect()] == [2]

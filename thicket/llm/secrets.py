@@ -1,11 +1,12 @@
 """Credentials in source text: finding them and taking them out.
 
 A literal is segmented by Viterbi into words of a dictionary (the words of the corpus' identifiers)
-and single unexplained characters; the characters that stay unexplained are its residual. A literal
-near an assignment-like context that names a secret is a credential if its residual is long enough;
-well-known token shapes, credentials in addresses, headers and private keys need no name beside
-them. Placeholders, references, hashes, public keys and names that only talk about secrets don't
-count.
+and single unexplained characters; what stays unexplained is its residual. A literal in an
+assignment or another place that holds values is a credential if its residual reaches what that
+place asks for (LEAST): a long one next to any name, a short one where the name, the address, the
+header or the sentence already says that a secret stands there. Nothing is found without that
+measure. Placeholders, references, hashes, public keys, plain ids and names that only talk about
+secrets don't count.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small_batches
+from ..session import cut, ship
 
-#: Words of the dictionary: the most frequent ones, at most this many, each seen at least so often.
-DICTIONARY_BOUND, LEAST_SEEN = 20_000, 3
-#: Unexplained characters from which a literal in a secret's context counts.
-LEAST_RESIDUAL = 1
+#: A word of the dictionary makes up at least this share of all words of identifiers, so there are at
+#: most 1 / LEAST_SHARE of them however large the corpus; and it is seen at least so often.
+LEAST_SHARE, LEAST_SEEN = 1e-5, 3
+#: Unexplained characters from which a literal is a secret, by the place it stands in.
+LEAST = {"assignment": 16, "named": 1, "neighbour": 1, "login": 1, "sentence": 1, "address": 1, "header": 6, "query": 6, "token": 8, "private key": 16}
 
 # How secrets are named, in several languages; the last word of a name decides.
 ALONE = "password passwd passphrase pwd passwort kennwort contrasena contraseña clave senha haslo hasło parola пароль secret secreto geheimnis credential credentials passe smtppass token apikey authtoken secretkey privatekey accesskey accesstoken".split()
@@ -46,6 +48,12 @@ PLACEHOLDER = re.compile(r"(?i)^(?:[*x•.#_-]+|<[^<>]*>|\$\{?\(?[\w.:-]*\)?\}?|
 REFERENCE = re.compile(r"\$\{[^}]*\}|\$\([^)]*\)|\{\{[^}]*\}\}|%\([^)]*\)s|<%.*%>|os\.environ|getenv|process\.env|System\.")
 # How hashes and public keys are written.
 HASH = re.compile(r"(?i)^(?:(?:sha\d*|md5|sha3|blake2\w?|crc32)[-:$=].*|\$(?:1|2[aby]?|5|6|y|argon2\w*|pbkdf2\S*|scrypt)\$.*|\{(?:ssha|sha|md5|crypt)\w*\}.*|(?:ssh|ecdsa)-\S+ .*|data:.*|-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE).*)", re.S)
+#: A literal that may be a secret next to any name: long, of one piece, with digits and letters of both cases.
+PIECE = r"[A-Za-z0-9_+/=.~!@#$%^&*-]"
+LONG_LITERAL = rf"(?<!{PIECE})(?={PIECE}*[0-9])(?={PIECE}*[A-Z])(?={PIECE}*[a-z]){PIECE}{{16,}}(?!{PIECE})"
+#: Names of long literals that aren't secrets, and literals that are addresses or paths.
+PLAIN_NAMES = frozenset("id uuid guid hash digest checksum sha sha1 sha256 sha512 md5 crc commit revision rev etag integrity fingerprint signature public pub verify icon image logo data content body base64 encoded version url uri href src link path file origin class font color model".split())
+PATH = re.compile(r"^(?:\.{0,2}/|[\w.-]+/[\w.-]+/|\w+\.\w+\.\w+)|://")
 #: Words that make a sentence one about a secret, and what comes last in it the secret itself.
 PROSE = re.compile(r"(?i)\b(?:password|passwd|passphrase|passwort|kennwort|contraseña|contrasena|clave|mot de passe|senha|hasło|haslo|parola d'ordine|пароль|secret|token|api[ -]key|credentials?)\b|密码|密钥|パスワード|秘密鍵")
 SAID = re.compile(r"(?:\b(?:is|was|remains?|still|with|password|passwort|lautet|ist|bleibt|es|sigue siendo|siendo|est|reste|è|rimane|é|continua|to|jest)\b|[:：=]|[是为は])\s*[\"'`«“]?(?P<v>[^\s\"'`«»“”]{6,})[\"'`»”]?\s*[.。]?\s*(?:\*/|-->)?\s*$", re.I)
@@ -54,7 +62,7 @@ SAID = re.compile(r"(?:\b(?:is|was|remains?|still|with|password|passwort|lautet|
 MAYBE = "(?iu)" + "|".join([
     "key|pass", *(r"[\p{Nd}_.-]*".join(w) for w in ALONE), "密码|密钥|パスワード|秘密鍵",
     r"auth|cookie|log_?in|sign_?in|://[^\s/@]*:[^\s/@]+@|[?&][a-z_-]+=",
-    r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|k_live_|k_test_|SG\.|AIza|ya29\.|npm_|pypi-|eyJ",
+    rf"(?-i:{LONG_LITERAL})", r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|k_live_|k_test_|SG\.|AIza|ya29\.|npm_|pypi-|eyJ",
 ])
 
 
@@ -94,27 +102,49 @@ class Dictionary:
     UNKNOWN = 7.0
 
     def residual(self, literal: str) -> int:
-        """Characters that the cheapest segmentation leaves unexplained; joints between words are free."""
+        """Characters that the cheapest segmentation leaves unexplained; joints between words are free.
+
+        From the third on, words that run together without a sign or a capital between them count as one
+        unexplained character each: that is no way to write a name.
+        """
         s = literal.lower()
+        if len(s) != len(literal):  # a few letters change their length
+            literal = s
         best = [0.0] + [math.inf] * len(s)
-        left = [0] * (len(s) + 1)
+        back = [0] * (len(s) + 1)
         for i in range(len(s)):
             free = s[i] in " _-./:" and 0 < i < len(s) - 1
             c = best[i] + (0.5 if free else self.UNKNOWN)
             if c < best[i + 1]:
-                best[i + 1], left[i + 1] = c, left[i] + (0 if free else 1)
+                best[i + 1], back[i + 1] = c, i
             for j in range(i + 2, min(len(s), i + self.longest) + 1):
                 w = self.cost.get(s[i:j])
                 if w is not None and best[i] + w < best[j]:
-                    best[j], left[j] = best[i] + w, left[i]
-        return left[-1]
-
-
-def is_secret(value: str, words: Dictionary, least: int = LEAST_RESIDUAL) -> bool:
+                    best[j], back[j] = best[i] + w, i
+        left, run, j = 0, 0, len(s)
+        while j > 0:
+            i = back[j]
+            if j - i > 1:
+                run = run + 1 if run and not literal[j : j + 1].isupper() else 1
+                left += run > 2
+            else:
+                run = 0
+                left += not (s[i] in " _-./:" and 0 < i < len(s) - 1)
+            j = i
+        return left
+
+
+def is_secret(value: str, words: Dictionary, place: str) -> bool:
+    """Whether a literal's residual reaches what the place it stands in asks for."""
     v = value.strip()
-    if len(v) < 6 or PLACEHOLDER.match(v) or REFERENCE.search(v) or HASH.match(v):
+    if not v or PLACEHOLDER.match(v) or REFERENCE.search(v) or HASH.match(v):
         return False
-    return words.residual(v) >= least
+    return words.residual(v) >= LEAST[place]
+
+
+def may_be_anything(value: str, name: str) -> bool:
+    """Whether a literal is long and mixed enough, and its name open enough, to be judged without a secret's name."""
+    return re.fullmatch(LONG_LITERAL, value) is not None and not PATH.search(value) and PLAIN_NAMES.isdisjoint(words_of(name)) and not PLAIN_NAMES.intersection(name.lower().split("_"))
 
 
 def quoted_value(m: re.Match) -> tuple[str, int, int]:
@@ -128,50 +158,61 @@ def find(text: str, context: str | None, words: Dictionary) -> list[tuple[int, i
     """(start, end, kind) of each credential in a text; `context` is a name from neighbouring nodes."""
     out: list[tuple[int, int, str]] = []
     for m in PEM.finditer(text):
-        if len(re.sub(r"\\n|\s", "", m.group("v"))) >= 16 and not REFERENCE.search(m.group("v")):
+        body = re.sub(r"\\n|\s", "", m.group("v"))
+        if not REFERENCE.search(body) and words.residual(body) >= LEAST["private key"]:
             out.append((m.start("v"), m.end("v"), "private key"))
     for m in ADDRESS.finditer(text):
-        v = m.group("v")
-        if not PLACEHOLDER.match(v) and not REFERENCE.search(m.group()) and v.lower() not in ("password", "pass", "pwd", "secret"):
+        if not REFERENCE.search(m.group()) and is_secret(m.group("v"), words, "address"):
             out.append((m.start("v"), m.end("v"), "address"))
     for m in QUERY.finditer(text):
         n = m.group("name").lower()
-        if (names_secret(n) or n in ("key", "sig", "signature", "auth", "token", "pass")) and is_secret(m.group("v"), words, 6):
+        if (names_secret(n) or n in ("key", "sig", "signature", "auth", "token", "pass")) and is_secret(m.group("v"), words, "query"):
             out.append((m.start("v"), m.end("v"), "query"))
     for m in HEADER.finditer(text):
-        if is_secret(m.group("v"), words, 6):
+        if is_secret(m.group("v"), words, "header"):
             out.append((m.start("v"), m.end("v"), "header"))
     for m in SHAPES.finditer(text):
-        if not re.search(r"(?i)x{6}|example", m.group()):
+        if not re.search(r"(?i)x{6}|example", m.group()) and words.residual(m.group()) >= LEAST["token"]:
             out.append((m.start(), m.end(), "token"))
     for m in ASSIGN.finditer(text):
-        if names_secret(m.group("name")) and not m.group("after").lstrip().startswith("("):
-            v, i, j = quoted_value(m)
-            joined = v + "".join(re.findall(r"[\"']([^\"'\n]*)[\"']", m.group("after")))
-            bare = m.group("u") is not None
-            if is_secret(joined, words) and not (bare and (re.fullmatch(r"[A-Za-z_][\w.]*", joined) and words.residual(joined) < 8 or joined.startswith(("self.", "this.", "&", "*")))):
-                out.append((i, j, "assignment"))
-                out.extend((m.start("after") + p.start(1), m.start("after") + p.end(1), "assignment") for p in re.finditer(r"[\"']([^\"'\n]*)[\"']", m.group("after")))
+        if m.group("after").lstrip().startswith("("):
+            continue
+        v, i, j = quoted_value(m)
+        joined = v + "".join(re.findall(r"[\"']([^\"'\n]*)[\"']", m.group("after")))
+        bare = m.group("u") is not None
+        if names_secret(m.group("name")):
+            # a bare word is a reference to something, a bare number an id or a count
+            reference = bare and (re.fullmatch(r"[A-Za-z_][\w.]*", joined) and words.residual(joined) < 8 or joined.startswith(("self.", "this.", "&", "*")) or re.fullmatch(r"[+-]?\d{1,5}", joined))
+            hit = not reference and is_secret(joined, words, "named")
+        else:
+            hit = text[m.end("name") : i].strip("\"'` ]")[:1] != "," and may_be_anything(joined, m.group("name")) and is_secret(joined, words, "assignment")
+        if hit:
+            out.append((i, j, "assignment"))
+            out.extend((m.start("after") + p.start(1), m.start("after") + p.end(1), "assignment") for p in re.finditer(r"[\"']([^\"'\n]*)[\"']", m.group("after")))
     for m in LOGIN.finditer(text):
         v, i, j = quoted_value(m)
-        if is_secret(v, words):
+        if is_secret(v, words, "login"):
             out.append((i, j, "login"))
-    if names_secret(context) and not out:
+    if context and not out:
         m = re.match(rf"\s*[a-zA-Z]{{0,2}}(?:{LITERAL})\s*$", text, re.S) or re.match(r"\s*[a-zA-Z]{0,2}(?P<d>.*)\s*$", text, re.S)
         v, i, j = quoted_value(m)
-        if is_secret(v, words):
+        named = names_secret(context)
+        if (named or may_be_anything(v, context)) and is_secret(v, words, "neighbour" if named else "assignment"):
             out.append((i, j, "neighbour"))
     if not out and text.lstrip()[:1] in "#/*-;<'\"`" and PROSE.search(text):
         m = SAID.search(text)
         if m:
             v = m.group("v").rstrip(".,;:")
-            if is_secret(v, words) and not re.search(r"//|\w=\w|^[\w.]+[(\[]|^[^\W\d_]+$", v):
+            if is_secret(v, words, "sentence") and not re.search(r"//|\w=\w|^[\w.]+[(\[]|^[^\W\d_]+$", v):
                 out.append((m.start("v"), m.start("v") + len(v), "sentence"))
     return out
 
 
-def redact(text: str, spans: list[tuple[int, int, str]], mask: str = "<redacted>") -> str:
-    """The text with each credential replaced by a mask; everything else stays as it is."""
+def redact(text: str, spans: list[tuple[int, int, str]], mask: str = "REDACTED") -> str:
+    """The text with each credential replaced by a mask; everything else stays as it is.
+
+    The mask is one plain word, which may stand in any literal, address, attribute or bare value.
+    """
     out, at = [], 0
     for i, j, _ in sorted(spans):
         if j <= at:
@@ -182,11 +223,13 @@ def redact(text: str, spans: list[tuple[int, int, str]], mask: str = "<redacted>
     return "".join(out) + text[at:]
 
 
-def dictionary(names: DataFrame, name: Column, bound: int = DICTIONARY_BOUND) -> Dictionary:
-    """The `bound` most frequent words of all identifiers; counts cover every row."""
+def dictionary(names: DataFrame, name: Column, share: float = LEAST_SHARE) -> Dictionary:
+    """The words that make up at least `share` of all words of identifiers; counts cover every row."""
     split = F.split(F.lower(F.regexp_replace(name, r"([a-z])([A-Z])", "$1_$2")), r"[^\p{L}]+")
-    words = names.select(F.explode(split).alias("w")).where("length(w) >= 3 and length(w) <= 24").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rows = words.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "w").limit(bound).collect()
+    words = cut(names.select(F.explode(split).alias("w")).where("length(w) >= 3 and length(w) <= 24").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    # at most 1 / share rows
+    rows = words.where((F.col("n") >= LEAST_SEEN) & (F.col("n") >= F.lit(share * total))).collect()
     common = "password secret token key user admin root server data base name value type string number list map file path host port test mode main id url not found for new get set the and with of to in on at my api login client service account private public read write true false null none production staging local default".split()
     return Dictionary({**{w: LEAST_SEEN for w in common}, **{r["w"]: r["n"] for r in rows}})
 
@@ -198,7 +241,6 @@ def credentials(rows: DataFrame, keys: list[str], text: str, context: str, words
     row is judged on its own.
     """
     ship(rows.sparkSession)
-    small_batches(rows.sparkSession, 4000)
     sent = rows.sparkSession.sparkContext.broadcast(words)
     head = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -216,17 +258,23 @@ def credentials(rows: DataFrame, keys: list[str], text: str, context: str, words
 
 
 def node_contexts(nodes: DataFrame) -> DataFrame:
-    """file_id, node_id, context: string nodes beside a name of a secret.
+    """file_id, node_id, context: string nodes beside a name.
 
     The name is the parent's, or that of the sibling just before (an identifier, or a string used as
-    a key or argument).
+    a key or argument). Strings that may be a secret next to any name get any name, others only one
+    that ends like a secret's; a name of a secret goes before others.
     """
     secret = lambda c: F.col(c).rlike(NAMES_SECRET)
-    strings = nodes.where(F.col("kind").rlike("String|Template")).select("file_id", "node_id", "parent_id", "sib_idx")
-    named = nodes.where(F.col("name").isNotNull() & secret("name") & ~F.col("kind").rlike("Function|Method|Class|Type")).select("file_id", F.col("node_id").alias("parent_id"), F.col("name").alias("context"))
     bare = F.regexp_replace("text", r"^[\"'`]|[\"'`]$", "")
-    before = nodes.where(F.col("kind").rlike("Identifier|String|Property") & bare.rlike(NAMES_SECRET) & (F.length("text") < 60))
+    strings = nodes.where(F.col("kind").rlike("String|Template")).select("file_id", "node_id", "parent_id", "sib_idx", F.coalesce(bare.rlike(f"^{LONG_LITERAL}$"), F.lit(False)).alias("_long"))
+    named = nodes.where(F.col("name").isNotNull() & ~F.col("kind").rlike("Function|Method|Class|Type")).select("file_id", F.col("node_id").alias("parent_id"), F.col("name").alias("context"))
+    before = nodes.where(F.col("kind").rlike("Identifier|Property") | F.col("kind").rlike("String") & bare.rlike(NAMES_SECRET)).where("text is not null")
     before = before.select("file_id", "parent_id", (F.col("sib_idx") + 1).alias("sib_idx"), bare.alias("context"))
-    near = strings.join(named, ["file_id", "parent_id"]).select("file_id", "node_id", "context")
-    near = near.unionByName(strings.join(before, ["file_id", "parent_id", "sib_idx"]).select("file_id", "node_id", "context"))
-    return near.groupBy("file_id", "node_id").agg(F.max("context").alias("context"))
+    sides = []
+    for names, on in ((named, ["file_id", "parent_id"]), (before, ["file_id", "parent_id", "sib_idx"])):
+        sides.append(strings.join(names.where(secret("context")), on).select("file_id", "node_id", "context"))
+        sides.append(strings.where("_long").join(names.where(~secret("context")), on).select("file_id", "node_id", "context"))
+    near = sides[0]
+    for s in sides[1:]:
+        near = near.unionByName(s)
+    return near.groupBy("file_id", "node_id").agg(F.max(F.struct(secret("context").alias("s"), "context"))["context"].alias("context"))
