@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from thicket.llm import languages as lg
 from thicket.llm import lexing
 
-PIECES = ['"', "'", "`", "/", "*", "#", "\\", "\n", "a ", " b", "xx", '"""', "'''", "é"]
+PIECES = ["--", "<!--", "-->", ";", "%", '"', "'", "`", "/", "*", "#", "\\", "\n", "a ", " b", "xx", '"""', "'''", "é"]
 
 
-@pytest.mark.parametrize("fam", ["c", "hash"])
+@pytest.mark.parametrize("fam", ["c", "hash", "dash", "markup", "semicolon", "percent"])
 def test_transition_functions_compose(fam):
     rng = random.Random(1)
     for _ in range(2000):
@@ -107,3 +107,27 @@ def test_size_of_chunks_changes_nothing(spark):
     got = {size: sorted(tuple(r) for r in lexing.inner_texts(df, ["file_id"], "content", "language", size).collect()) for size in (30, 200, 1 << 18)}
     assert got[30] == got[200] == got[1 << 18]
     assert (92, 0, lexing.CODE, plain) in got[30] and sum(r[0] == 94 for r in got[30]) == 2
+
+
+def test_a_span_over_many_chunks_is_one(spark):
+    comment = "/* " + "the reader keeps the last known position and drops the rest " * 40 + "*/"
+    df = spark.createDataFrame([(1, f"x = 1; {comment} y = 2;", "go"), (2, "no delimiter here but many words " * 30, "go"), (3, "<p>a</p><!-- the reader keeps the last position -->", "html"), (4, "select 1 -- the reader keeps the last position\nfrom b", "SQL")], "file_id bigint, content string, language string")
+    for size in (7, 64, lexing.CHUNK, 1 << 18):
+        got = {r["file_id"]: (r["start"], r["state"], r["inner"]) for r in lexing.inner_texts(df, ["file_id"], "content", "language", size).collect()}
+        assert got[1] == (9, lexing.BLOCK, comment[2:-2]) and got[2][1] == lexing.CODE and len(got[2][2]) == 990
+        assert got[3][1] == lexing.MARKUP and got[4] == (11, lexing.LINE, " the reader keeps the last position")
+
+
+def test_sample_takes_the_same_rows_in_one_pass(spark):
+    rows = [(i, f"text {i}", ["en", "DE", "fr_FR", None, "xx"][i % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = {}
+    keep, lg.train_on = lg.train_on, lambda rows, bound: seen.update(rows=rows)
+    try:
+        lg.fit(df, "doc_id", "text", F.col("lang"), documents_bound=100)
+    finally:
+        lg.train_on = keep
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for code, label in (("en", "en"), ("de", "DE"), ("fr", "fr_FR")):
+        want = [t for i, t, x in sorted(rows, key=lambda r: h[r[0]]) if x == label][:10]
+        assert [t for c, t in seen["rows"] if c == code] == want

@@ -129,3 +129,19 @@ def test_copies_are_one_text(spark):
     df = spark.createDataFrame([(5, "Docs", "x", 3), (2, "docs ", "x", 3), (9, "docs", "y", 4), (1, "code", "x", 3), (7, None, "x", 3)], "doc_id bigint, source string, digest string, n_tokens bigint")
     got = sorted(map(tuple, mixing.distinct_texts(df, "doc_id", "digest").collect()))
     assert got == [(1, "code", 3), (2, "docs", 3), (7, None, 3), (9, "docs", 4)]
+
+
+def test_room_of_a_giant_is_filled_by_repeats(spark):
+    # the giant of `docs` doesn't fit its budget; small records may come twice
+    rows = [(1, "docs", 3000)] + [(10 + i, "docs", 10) for i in range(100)] + [(1000 + i, "big_code", 10) for i in range(500)]
+    drawn, shares = mix(spark, rows, total=7000)
+    assert shares["docs"]["budget"] == 2100 and shares["docs"]["drawn_tokens"] == 2000 and shares["docs"]["most_repeats"] == 2 and shares["docs"]["unfilled"] == 100
+    assert {r["n_repeats"] for r in drawn.where("source = 'docs'").collect()} == {2} and drawn.where("doc_id = 1").count() == 0
+
+
+def test_exchange_goes_on_until_it_saves_nothing(spark):
+    rng = random.Random(9)
+    sizes = spark.createDataFrame([(i, rng.choice([34, 35, 51, 66, 67, 20])) for i in range(1500)], "doc_id bigint, n_tokens bigint")
+    limits = spark.createDataFrame([(1, 100)], "pack_id int, capacity_tokens int")
+    bins = [packing.pack(sizes, "doc_id", limits, rounds=r, partition_items=60).select("bin_id").distinct().count() for r in (0, 3, None)]
+    assert bins[0] >= bins[1] >= bins[2]

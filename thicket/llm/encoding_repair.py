@@ -1,6 +1,6 @@
 """Finding and repairing text that was decoded with the wrong character encoding.
 
-A latent chain stands behind every stretch of text: the identity, or one to three steps of "encoded
+A latent chain stands behind every stretch of text: the identity, or one or more steps of "encoded
 as A, decoded as B". The probability of what is seen under a chain is that of the text before the
 damage under a character model of clean text, times the chain's share in the group (source) of the
 record. Both the character model and the shares are unknown and are found by expectation
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-PAIR_BITS, CHAR_BITS, GROUPS = 18, 16, 64
+PAIR_BITS, CHAR_BITS, GROUPS = 18, 16, 4096
 #: Encodings in which UTF-8 bytes are wrongly read.
 READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1257", "iso8859-2", "iso8859-15", "cp866", "koi8-r", "gb18030", "cp932")
 #: Other pairs: the true encoding, and the one in which it was wrongly read.
@@ -37,11 +37,13 @@ CHAINS = ("", "lost", *(f"utf-8>{b}" for b in READ_AS), *(f"{a}>{b}" for a, b in
 CHAIN_NO = {c: i for i, c in enumerate(CHAINS)}
 FIRST_OTHER = 2 + len(READ_AS)
 LOST = "�"
-DEPTH = 3
 #: Log odds against the identity from which a stretch counts as damaged.
 LEAST_ODDS = 2.0
 BACK_OFF = 20.0
-ROUNDS = 10
+#: The fit ends when a round moves less than this share of the stretches from chain to chain; rounds at most.
+SETTLED, ROUNDS = 2e-5, 40
+#: Distinct stretches of one task.
+TASK_TOKENS = 4_000
 TOKEN = r"(?<![^ \t\r\n])[\x00-\x08\x0B\x0C\x0E-\x1F!-\x7F]*+[^\x00-\x7F][^ \t\r\n]*"
 
 
@@ -83,11 +85,16 @@ def undo(text: str, true: str, read: str) -> str | None:
 
 
 def candidates(text: str) -> dict[str, tuple[int, int]]:
-    """Possible originals: text -> (chain number, steps). The identity is always there."""
+    """Possible originals: text -> (chain number, steps). The identity is always there.
+
+    Steps of wrongly read UTF-8 are undone as long as that gives anything new; each makes the text
+    shorter, so there is an end.
+    """
     found = {text: (0, 0)}
-    level = [text]
-    for depth in range(1, DEPTH + 1):
+    level, depth = [text], 0
+    while level:
         after = []
+        depth += 1
         for t in level:
             for b in READ_AS:
                 back = undo(t, "utf-8", b)
@@ -134,11 +141,11 @@ class Model:
 
 
 def quoted(token: str) -> str | None:
-    """The inside of a token that is nothing but a short sequence in backticks, else None."""
+    """The inside of a token that is nothing but a sequence in backticks, else None."""
     a, b = token.find("`"), token.rfind("`")
     inside = token[a + 1 : b] if 0 <= a < b else ""
     rest = token[:a] + token[b + 1 :] if inside else token
-    return inside if inside and not any(c.isalnum() for c in rest) and "`" not in inside and len(inside) <= 16 and not any(c.isascii() and c.isalnum() for c in inside) else None
+    return inside if inside and not any(c.isalnum() for c in rest) and "`" not in inside and not any(c.isascii() and c.isalnum() for c in inside) else None
 
 
 #: Stretches whose candidates a worker keeps from round to round, and their longest length.
@@ -240,8 +247,8 @@ def expect(batches: Iterator[pd.DataFrame], model: Model | None) -> Iterator[pd.
 
 
 def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
-    """EM over distinct tokens. Each round sends fixed-size counts back to the driver."""
-    model = None
+    """EM over distinct tokens until the shares of the chains settle. Each round sends fixed-size counts to the driver."""
+    model, before = None, None
     sc = tokens.sparkSession.sparkContext
     for _ in range(rounds):
         sent = sc.broadcast(model)
@@ -251,7 +258,11 @@ def fit(tokens: DataFrame, rounds: int = ROUNDS) -> Model:
         for part, a in enumerate(arrays):
             rows = counts[counts["part"] == part]
             a[rows["at"].to_numpy()] = rows["weight"].to_numpy()
-        model = Model(arrays[0], arrays[1], arrays[2].reshape(GROUPS, -1))
+        shares = arrays[2].reshape(GROUPS, -1)
+        model = Model(arrays[0], arrays[1], shares)
+        if before is not None and np.abs(shares - before).sum() <= SETTLED * max(shares.sum(), 1.0):
+            break
+        before = shares
     return model
 
 
@@ -280,6 +291,8 @@ def damage(df: DataFrame, key: str, text: str, group: Column) -> DataFrame:
     ship(df.sparkSession)
     rows = cut(tokens_of(df, key, text, group))
     distinct = cut(distinct_tokens(rows))
+    # spread by count: their work is in the processor, not in their few bytes
+    distinct = cut(distinct.repartition(max(1, -(-distinct.count() // TASK_TOKENS))))
     bad = damaged_tokens(distinct, fit(distinct))
     return rows.distinct().join(bad, ["token", "group"]).select(key, "token", "restored", "chain", "odds")
 

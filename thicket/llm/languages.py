@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, small_batches
+from ..session import ship
 from . import lexing
 
 #: The languages told apart.
@@ -179,13 +179,12 @@ def fit(documents: DataFrame, key: str, text: str, lang: Column, documents_bound
     Only those come to the driver, and at most `phrases_bound` phrases of each class are used. Labels
     that a first fit doubts strongly are left out of the second.
     """
-    label = language_of(lang)
     per = documents_bound // len(LANGUAGES)
-    pick = None
-    for code in LANGUAGES:
-        one = documents.where(F.col(text).isNotNull() & (label == code)).select(F.lit(code).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("_h")).orderBy("_h", "text").limit(per)
-        pick = one if pick is None else pick.unionAll(one)
-    rows = pick.select("lang", "text").collect()
+    labelled = documents.where(F.col(text).isNotNull()).select(language_of(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("_h")).where("lang is not null")
+    # one pass: every task keeps its own first `per` of a language before anything is shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+    rows = labelled.withColumn("_no", place).where(F.col("_no") <= per).collect()
+    rows.sort(key=lambda r: (LANGUAGES.index(r["lang"]), r["_no"]))
     return train_on([(r["lang"], r["text"]) for r in rows], phrases_bound)
 
 
@@ -265,7 +264,6 @@ def find_phrases(df: DataFrame, keys: list[str], text: str, language: str, model
     split into phrases and each phrase labelled. Null and empty texts have no phrase.
     """
     ship(df.sparkSession)
-    small_batches(df.sparkSession, 4000)
     sent = df.sparkSession.sparkContext.broadcast(model)
     head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 

@@ -3,8 +3,9 @@
 Every record gets a hash-random key. Within a source the records are range-sorted by key: equal key
 ranges (buckets) are summed first, prefix sums over the buckets give each bucket its offset, and a
 running sum inside the bucket gives each record its place. The source's budget then is cut: all
-records for every whole epoch, those before the cut once more, and the gap that the record at the cut
-leaves is filled in the same way.
+records for every whole epoch, those before the cut once more. What the record at the cut leaves open
+is filled in the same way by records not yet drawn in this epoch, and, if more than NEXT_EPOCH of the
+budget stays open, by a further one.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..session import cut
 
 #: Records of a bucket on average.
 BUCKET_ROWS = 20_000
-#: Times that the open part of a budget is filled.
-PASSES = 4
+#: Open shares of a budget: from the first on a further epoch is begun for it, below the second it is left as it is.
+NEXT_EPOCH, TOLERANCE = 0.01, 1e-4
 
 
 def plain_source(c: Column) -> Column:
@@ -60,54 +61,74 @@ def prefix_take(rows: DataFrame, key: str, room: DataFrame) -> DataFrame:
     """Of each source the records that fit its `room` (source, room) one after the other in key order.
 
     Records larger than the whole room are passed over; the first that no longer fits ends the row.
-    `rows` has key, source, n_tokens, _h and _bucket (ranges of _h).
+    `rows` has key, source, n_tokens, _h and _bucket (ranges of _h). Only the buckets before the cut
+    are sorted.
     """
     fits = rows.join(F.broadcast(room), "source").where("n_tokens <= room")
-    sums = fits.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n"))
-    before = sums.select("source", "_bucket", (F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_n")).alias("_offset"))
+    sums = fits.groupBy("source", "_bucket", "room").agg(F.sum("n_tokens").alias("_n"))
+    before = sums.select("source", "_bucket", "room", (F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_n")).alias("_offset"))
+    reached = before.where("_offset < room").drop("room")
     inside = Window.partitionBy("source", "_bucket").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
-    placed = fits.withColumn("_run", F.sum("n_tokens").over(inside)).join(before, ["source", "_bucket"])
+    placed = fits.join(reached, ["source", "_bucket"]).withColumn("_run", F.sum("n_tokens").over(inside))
     return placed.where(F.col("_offset") + F.col("_run") <= F.col("room")).select(key, "source", "n_tokens")
 
 
-def draw(sizes: DataFrame, key: str, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, bucket_rows: int = BUCKET_ROWS, passes: int = PASSES) -> DataFrame:
+def draw(sizes: DataFrame, key: str, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """key, source, n_tokens, n_repeats (>= 1) of every record that is drawn.
 
     `sizes` has key (unique), source and n_tokens >= 1, one row per text (see `distinct_texts`); sources
-    that aren't among the targets and null sources are left out. All records of a source are drawn for every whole epoch of its budget. For
-    the rest of the budget records are taken in key order up to the cut; what the record at the cut
-    leaves open is filled the same way by later records that fit, `passes` times in all, so a source
-    never exceeds its budget and stays below it by less than the record at the last cut. Equal keys are
-    ordered by record.
+    that aren't among the targets and null sources are left out. All records of a source are drawn for
+    every whole epoch of its budget. For the rest of the budget records are taken in key order up to
+    the cut; what is left open there is filled the same way by later records that fit, until none fits
+    or less than TOLERANCE of the budget is open. If more than NEXT_EPOCH is (a record larger than the
+    room stays out), a further epoch fills it, as long as records may be repeated. A source never
+    exceeds its budget. Equal keys are ordered by record.
     """
     rows = cut(sizes.select(key, plain_source(F.col("source")).alias("source"), "n_tokens", F.xxhash64(F.lit(seed), F.col(key)).alias("_h")))
     plan = budgets(rows, targets, total_tokens).where("budget > 0")
     bits = max(1, rows.count() // bucket_rows).bit_length()
     # the sign bit turned, so that the order of buckets is the order of keys
     rows = rows.withColumn("_bucket", F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(2**63))), 64 - bits))
-    epochs = F.floor(F.col("budget") / F.col("available")).cast("bigint")
-    # as many rows as there are targets
-    plan = cut(plan.select("source", epochs.alias("epochs"), (F.col("budget") - epochs * F.col("available")).alias("room")))
-    taken = None
-    for _ in range(passes):
-        room = plan.select("source", "room")
+    whole = F.floor(F.col("budget") / F.col("available")).cast("bigint")
+    # as many rows as there are targets: source -> whole epochs, most epochs, open room, epoch that is being drawn, budget
+    rooms = {r["source"]: [r["whole"], r["max_repeats"], r["room"], r["whole"] + 1, r["budget"]] for r in plan.select("source", "max_repeats", "budget", whole.alias("whole"), (F.col("budget") - whole * F.col("available")).alias("room")).collect()}
+    spark, taken, begun = rows.sparkSession, None, dict.fromkeys(rooms, False)
+    while True:
+        open_ = [(s, room, epoch) for s, (_w, most, room, epoch, budget) in rooms.items() if epoch <= most and room > budget * (TOLERANCE if begun[s] or epoch == _w + 1 else NEXT_EPOCH)]
+        if not open_:
+            break
+        now = spark.createDataFrame(open_, "source string, room bigint, epoch bigint")
         left = rows
         if taken is not None:
-            used = taken.groupBy("source").agg(F.sum("n_tokens").alias("_used"))
-            room = room.join(used, "source", "left").select("source", (F.col("room") - F.coalesce("_used", F.lit(0))).alias("room"))
-            left = rows.join(taken.select(key), key, "left_anti")
-        more = cut(prefix_take(left, key, room))
+            drawn = taken.join(F.broadcast(now.select("source", "epoch")), ["source", "epoch"], "left_semi").select(key)
+            left = rows.join(drawn, key, "left_anti")
+        more = prefix_take(left, key, now.select("source", "room"))
+        more = cut(more.join(F.broadcast(now.select("source", "epoch")), "source"))
+        used = {r["source"]: r["n"] for r in more.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
         taken = more if taken is None else taken.unionByName(more)
-    once = taken.select(key, F.lit(1).alias("_once"))
-    times = (F.col("epochs") + F.coalesce("_once", F.lit(0))).cast("int")
-    drawn = rows.join(F.broadcast(plan.select("source", "epochs")), "source").join(once, key, "left")
+        for s, *_ in open_:
+            rooms[s][2] -= used.get(s, 0)
+            if s in used:
+                begun[s] = True
+            elif begun[s]:
+                rooms[s][3], begun[s] = rooms[s][3] + 1, False
+            else:
+                rooms[s][2] = 0  # nothing fits in a fresh epoch either
+    epochs = spark.createDataFrame([(s, w) for s, (w, *_) in rooms.items()], "source string, epochs bigint")
+    once = None if taken is None else taken.groupBy(key).agg(F.count(F.lit(1)).alias("_more"))
+    drawn = rows.join(F.broadcast(epochs), "source")
+    drawn = drawn.withColumn("_more", F.lit(0)) if once is None else drawn.join(once, key, "left")
+    times = (F.col("epochs") + F.coalesce("_more", F.lit(0))).cast("int")
     return drawn.select(key, "source", "n_tokens", times.alias("n_repeats")).where("n_repeats >= 1")
 
 
 def shares(drawn: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """source, target_weight, budget, n_records, n_tokens (repeats counted), share, most repeats of each target."""
+    """source, target_weight, budget, n_records, n_tokens (repeats counted), share, most repeats, unfilled of each target.
+
+    `unfilled` is the part of the budget that no record filled.
+    """
     plan = budgets(sizes.withColumn("source", plain_source(F.col("source"))), targets, total_tokens)
     got = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n_drawn"), F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("drawn_tokens"), F.max("n_repeats").alias("most_repeats"))
     both = plan.join(got, "source", "left").fillna(0, ["n_drawn", "drawn_tokens", "most_repeats"])
     whole = Window.partitionBy(F.lit(1))  # the few rows of the targets
-    return both.withColumn("share", F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(whole)))
+    return both.withColumn("share", F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(whole))).withColumn("unfilled", F.col("budget") - F.col("drawn_tokens"))

@@ -9,6 +9,8 @@ containers. Items over the capacity are split into full containers and a rest.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-#: Items of a partition at most (on average; partitions are hash-made), and exchange rounds at most.
-PARTITION_ITEMS, ROUNDS = 20_000, 3
+#: Items of a partition at most (on average; partitions are hash-made).
+PARTITION_ITEMS = 20_000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -101,13 +103,14 @@ def pack_parts(items: DataFrame, round_no: int, parts: int) -> DataFrame:
     return spread.groupBy("pack_id", "part").applyInPandas(run, PACKED)
 
 
-def pack(sizes: DataFrame, key: str, limits: DataFrame, rounds: int = ROUNDS, partition_items: int = PARTITION_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, key: str, limits: DataFrame, rounds: int | None = None, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """pack_id, bin_id, key, piece, start, n_tokens: every item in one container of each capacity.
 
     `sizes` has key (bigint, unique) and n_tokens >= 1; `limits` has pack_id and capacity_tokens, a few
     rows. An item over the capacity becomes pieces 0, 1, ... that begin at token `start`: full
     containers, and the rest as an item like others. No item, no row; limits that are null or below 1
-    are left out.
+    are left out. Partitions with a gap exchange items until that saves no more containers, or for
+    `rounds` rounds if given.
     """
     ship(sizes.sparkSession)
     caps = limits.where("capacity_tokens >= 1").select(F.col("pack_id").cast("int"), F.col("capacity_tokens").cast("int").alias("capacity")).dropDuplicates(["pack_id"])
@@ -124,7 +127,7 @@ def pack(sizes: DataFrame, key: str, limits: DataFrame, rounds: int = ROUNDS, pa
     counts = [r["n"] for r in loose.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()]
     done = [whole]
     packed, before = None, None
-    for r in range(rounds + 1):
+    for r in itertools.count() if rounds is None else range(rounds + 1):
         n = max(counts, default=0)
         if n == 0:
             break

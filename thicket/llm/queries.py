@@ -156,9 +156,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the distinct texts of each source, so that copies don't go beyond a text's repeats."""
-    docs = table(spark, d, "documents").withColumn("digest", F.sha2(F.col("text"), 256))
-    return mixing.distinct_texts(tokens.sizes(docs, "doc_id", "text", "source", "digest"), "doc_id", "digest")
+    """Sizes of the distinct texts of each source, so that copies don't go beyond a text's repeats.
+
+    Copies are dropped before texts are tokenised; the record with the smallest id stands for them.
+    """
+    docs = table(spark, d, "documents").where("text <> ''").withColumn("source", mixing.plain_source(F.col("source")))
+    first = docs.groupBy("source", F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return tokens.sizes(docs.join(first, "doc_id", "left_semi"), "doc_id", "text", "source")
 
 
 def p9_sample(spark: SparkSession, d: str) -> DataFrame:
