@@ -107,3 +107,23 @@ def test_packed_library_copies_are_third_party(spark):
     libs = spark.createDataFrame([("probes", lib)], "lib string, content string")
     got = {r["file_id"]: (r["origin"], r["evidence"]) for r in so.origins(files, "file_id", "path", "content", libs, F.col("lib"), "content").collect()}
     assert got == {1: ("third_party", "library probes"), 2: ("packed", "layout")}
+
+
+def test_large_library_tables_are_joined(spark):
+    body = "\n".join(f"function part{i}(a, b) {{ return a.map(x => x * {i} + b.size) && check(a, 'part {i}') }}" for i in range(30))
+    rows = [(1, "src/a.js", body), (2, "src/b.js", body.replace("part3(", "other(")), (3, "src/c.js", "let own = 1;\nexport default own;\n" * 3), (4, None, None), (5, "vendor/x.js", ""), (6, "src/d.js", body.upper().replace(" ", "\n"))]
+    files = spark.createDataFrame(rows, "file_id bigint, path string, content string")
+    libs = spark.createDataFrame([("lib", body), ("none", None), ("small", "a b")], "lib string, content string")
+    answers = [sorted(map(tuple, so.origins(files, "file_id", "path", "content", libs, F.col("lib"), "content", bound=n).collect())) for n in (so.LIBRARY_BOUND, 10)]
+    assert answers[0] == answers[1] and {(1, "third_party", "library lib"), (2, "third_party", "library lib"), (5, "third_party", "path"), (6, "third_party", "library lib")} <= set(answers[0])
+
+
+def test_layout_statistics_decide_before_path_and_notice(spark):
+    data = "x = [" + ", ".join(f"{i}.{i * 7 % 10}" for i in range(400)) + "]\n"
+    packed = "var a=function(b,c){return b.d(c)};" * 80
+    files = spark.createDataFrame([(1, "vendor/t.py", "# generated by maker\n" + data), (2, "x.min.js", packed), (3, "src/a.py", "def f(x):\n    return x + 1\n" * 9)], "file_id bigint, path string, content string")
+    libs = spark.createDataFrame([], "lib string, content string")
+    got = {r["file_id"]: (r["origin"], r["evidence"]) for r in so.origins(files, "file_id", "path", "content", libs, F.col("lib"), "content").collect()}
+    assert got[1] == ("data", "layout") and got[2] == ("packed", "layout")
+    row = so.layout(files.select(F.col("content").alias("t")), "t").orderBy("n_chars").collect()
+    assert set(so.STATISTICS) <= set(row[0].asDict()) and max(r["numbers"] for r in row) > 0.5

@@ -32,6 +32,14 @@ def p1_origins(spark: SparkSession, d: str) -> DataFrame:
     return file_origins(spark, d)
 
 
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each kind of evidence decided, and its share of all that aren't hand-written."""
+    kind = F.substring_index("evidence", " ", 1).alias("evidence")
+    per = file_origins(spark, d).groupBy(kind, "origin").agg(F.count(F.lit(1)).alias("n_files"))
+    whole = per.select(F.sum("n_files"))
+    return per.withColumn("share", F.col("n_files") / whole.scalar())
+
+
 def p1_hand_written_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings in hand-written files: rows per rule, by files of the latest state."""
     origins = file_origins(spark, d).select("file_id")
@@ -174,5 +182,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.draw(sizes, "doc_id", targets), sizes, targets)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p8_bins, p8_report, p9_sample, p9_shares, p10_found, p10_repaired)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_evidence, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p8_bins, p8_report, p9_sample, p9_shares, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}

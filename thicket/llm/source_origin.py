@@ -1,9 +1,12 @@
 """Which source files were not written by hand for their project.
 
-A file counts as generated, packed (minified or bundled), third-party or data by the strongest of
-four kinds of evidence: its path; the notice in its leading comments; layout statistics of its text
-(line lengths, shares of white space, letters and literals, long encoded runs) against thresholds
-per language; and its word shingles against those of known public libraries.
+A file counts as generated, packed (minified or bundled), third-party or data by what is found first
+of four kinds of evidence: its word shingles against those of known public libraries; layout
+statistics of its text against thresholds tuned per language (longest and mean line, shares of white
+space, letters, letters and digits together, density of numeric literals, long encoded runs, lines
+that repeat but for numbers); the notice in the comments that open or close it; and its path.
+A layout verdict comes from the text alone. Copies and files with a notice look like any other code,
+so that layout can't tell them; there the other evidence decides, and `evidence` says which did.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small_batches
+from ..session import ship
 
 # Where third-party, generated and packed files lie, and what they are called.
 THIRD_PARTY = r"(?i)(^|/)(node_modules|bower_components|jspm_packages|vendor|vendored|third[_-]?party|3rd[_-]?party|external|externals|extern|deps|Godeps|Carthage/Checkouts|Pods|site-packages|dist-packages|elm-stuff|web/static/libs|static/vendor|contrib/upstream|upstream)/"
@@ -45,16 +48,18 @@ NOTICE = re.compile(
 COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#(?!include|define|if|pragma|\[)|--|;|<!--|'''|\"\"\")")
 
 #: Thresholds per language: longest code line and mean line of packed text, its greatest share of
-#: white space; greatest share of letters outside literals in data; shortest encoded run.
-DEFAULTS = {"max_line": 400, "mean_line": 110, "white": 0.12, "letters": 0.12, "run": 200}
+#: white space; greatest share of letters outside literals in data, least density of numeric literals in data, greatest
+#: share of letters and digits together in a table of signs; shortest encoded run.
+DEFAULTS = {"max_line": 400, "mean_line": 110, "white": 0.12, "letters": 0.12, "numbers": 0.35, "alnum": 0.15, "run": 200}
 TUNED = {"js": {"max_line": 300}, "ts": {"max_line": 300}, "css": {"max_line": 300}, "c": {"letters": 0.15}, "java": {"letters": 0.15}, "cs": {"letters": 0.15}, "go": {"letters": 0.14}, "rs": {"letters": 0.14}}
 LEAST_SIZE = 120
 #: Share of lines that repeat others but for numbers, from which a file of so many lines was made by a tool.
 REPEATED, LEAST_LINES = 0.75, 12
+NUMBERS = r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|[0-9][0-9_.]*(?:[eE][+-]?[0-9]+)?)[a-zA-Z]?\b"
 LITERALS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\b|-?\b[0-9][0-9_.eE+]*[a-zA-Z]?\b"
 #: Word shingles: words of a shingle, least similarity, least number of shingles of a file that can be compared.
 SHINGLE, SIMILAR, LEAST_SHINGLES = 5, 0.8, 8
-#: Largest library table that is broadcast, in shingles; a larger one is refused with an error.
+#: Largest library table that is broadcast, in shingles; a larger one is joined instead (`similar_by_join`).
 LIBRARY_BOUND = 2_000_000
 
 
@@ -76,7 +81,7 @@ def path_origin(path: Column) -> Column:
 
 
 #: Statistics that `layout` adds.
-STATISTICS = ("n_chars", "max_line", "mean_line", "white", "letters", "n_lines", "repeated", "run")
+STATISTICS = ("n_chars", "max_line", "mean_line", "white", "letters", "numbers", "alnum", "n_lines", "repeated", "run")
 
 
 def layout(files: DataFrame, text: str) -> DataFrame:
@@ -93,6 +98,8 @@ def layout(files: DataFrame, text: str) -> DataFrame:
             "mean_line": F.col("n_chars") / (F.length(F.regexp_replace(t, r"[^\n\r]+", "")) + 1),
             "white": 1 - F.col("_dense") / size,
             "letters": F.length(F.regexp_replace("_bare", r"[^\p{L}]+", "")) / F.greatest(F.col("_dense"), F.lit(1)),
+            "numbers": (F.col("n_chars") - F.length(F.regexp_replace(t, NUMBERS, ""))) / F.greatest(F.col("_dense"), F.lit(1)),
+            "alnum": F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) / F.greatest(F.col("_dense"), F.lit(1)),
             "n_lines": F.size("_alike"),
             "repeated": 1 - F.size(F.array_distinct("_alike")) / F.greatest(F.size("_alike"), F.lit(1)),
             "run": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
@@ -105,16 +112,29 @@ def layout_origin(ext: Column) -> Column:
     t = {n: threshold(n, ext) for n in DEFAULTS}
     big = F.col("n_chars") >= LEAST_SIZE
     packed = big & (F.col("max_line") >= t["max_line"]) & (F.col("mean_line") >= t["mean_line"]) & (F.col("white") <= t["white"]) & ext.isin("js", "ts", "mjs", "css", "jsx", "tsx", "py", "java", "cs", "go", "rs", "c", "rb", "h", "cpp", "php") & (F.col("letters") > 0)
-    data = big & ((F.col("letters") <= t["letters"]) | ((F.col("run") >= t["run"]) & (F.col("run") >= 0.5 * F.col("n_chars"))))
+    data = big & ((F.col("letters") <= t["letters"]) | (F.col("numbers") >= t["numbers"]) | (F.col("alnum") <= t["alnum"]) | ((F.col("run") >= t["run"]) & (F.col("run") >= 0.5 * F.col("n_chars"))))
     stubs = (F.col("n_lines") >= LEAST_LINES) & (F.col("repeated") >= REPEATED)
     return F.when(data, "data").when(packed, "packed").when(stubs, "generated")
 
 
+LINE = re.compile(r"[^\r\n]+")
+
+
+def lines_backwards(text: str) -> Iterator[str]:
+    """The lines of a text from its end, each cut off when it is asked for."""
+    end = len(text)
+    while end > 0:
+        at = max(text.rfind("\n", 0, end), text.rfind("\r", 0, end))
+        yield text[at + 1 : end]
+        end = at
+
+
 def notice(text: str) -> bool:
     """Whether the comments that open or close a file say that a tool wrote it."""
-    lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
-    for part in (lines, reversed(lines)):
-        for line in part:
+    for lines in ((m.group() for m in LINE.finditer(text)), lines_backwards(text)):
+        for line in lines:
+            if not line.strip():
+                continue
             if not COMMENT_LINE.match(line):
                 break
             if NOTICE.search(line):
@@ -136,8 +156,29 @@ def stable_shingles(text: str) -> list[int]:
     return np.unique(mixed & np.uint64((1 << 61) - 1)).tolist()
 
 
+def shingle_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns in `keep`, n_shingles, shingle: a row per distinct shingle of a text."""
+    ship(df.sparkSession)
+    fn = F.pandas_udf(lambda s: s.map(stable_shingles), "array<bigint>")
+    rows = df.where(F.length(text) > 0).select(*keep, fn(text).alias("_s")).where(F.size("_s") >= LEAST_SHINGLES)
+    return rows.select(*keep, F.size("_s").alias("n_shingles"), F.explode("_s").alias("shingle"))
+
+
+def similar_by_join(files: DataFrame, key: str, text: str, libraries: DataFrame, library: Column, library_text: str) -> DataFrame:
+    """key, library: the most similar library of each file (SIMILAR or more), for library tables of any size.
+
+    Shingles meet in an equi-join; the common ones are counted map-side per file and library.
+    """
+    known = shingle_rows(libraries.select(library.alias("library"), F.col(library_text).alias("_t")), "_t", "library").withColumnRenamed("n_shingles", "n_library")
+    seen = shingle_rows(files.select(F.col(key).alias("_key"), F.col(text).alias("_t")), "_t", "_key")
+    common = seen.join(known, "shingle").groupBy("_key", "n_shingles", "library", "n_library").agg(F.count(F.lit(1)).alias("n"))
+    score = F.col("n") / F.least("n_shingles", "n_library")
+    best = common.where(score >= SIMILAR).groupBy("_key").agg(F.max(F.struct(score.alias("s"), "library"))["library"].alias("library"))
+    return best.withColumnRenamed("_key", key)
+
+
 def library_index(libraries: DataFrame, name: Column, text: str) -> tuple[dict[int, tuple[int, ...]], list[int], list[str]]:
-    """Shingle -> libraries that hold it, shingles per library, names. The table must keep to LIBRARY_BOUND."""
+    """Shingle -> libraries that hold it, shingles per library, names. The caller has checked LIBRARY_BOUND."""
     index: dict[int, list[int]] = {}
     sizes, names = [], []
     rows = libraries.where(F.col(text).isNotNull()).select(name.alias("n"), F.col(text).alias("t")).toLocalIterator()
@@ -147,8 +188,6 @@ def library_index(libraries: DataFrame, name: Column, text: str) -> tuple[dict[i
         names.append(r["n"])
         for x in s:
             index.setdefault(x, []).append(i)
-        if len(index) > LIBRARY_BOUND:
-            raise ValueError("the library table is too large to broadcast; raise LIBRARY_BOUND knowingly")
     return {k: tuple(v) for k, v in index.items()}, sizes, names
 
 
@@ -166,38 +205,46 @@ def best_library(text: str, index: dict[int, tuple[int, ...]], sizes: list[int])
     return max(((i, n / min(len(s), sizes[i])) for i, n in hits.items() if sizes[i] >= LEAST_SHINGLES), key=lambda x: (x[1], -x[0]), default=(-1, 0.0))
 
 
-def origins(files: DataFrame, key: str, path: str, text: str, libraries: DataFrame, library: Column, library_text: str) -> DataFrame:
-    """key, origin (third_party, generated, packed, data, or null for hand-written), evidence.
+def origins(files: DataFrame, key: str, path: str, text: str, libraries: DataFrame, library: Column, library_text: str, bound: int = LIBRARY_BOUND) -> DataFrame:
+    """key, origin (third_party, generated, packed, data), evidence of every file that isn't hand-written.
 
     `key` must be unique. A null or empty text is judged by its path alone, a null path by its text.
-    Of several kinds of evidence the path counts first, then the notice, the library and the layout.
+    Of several kinds of evidence a library counts first, then the layout, the notice and the path. A
+    library table of at most `bound` shingles is broadcast, a larger one joined, with the same result
+    but for ties between libraries.
     """
     ship(files.sparkSession)
-    small_batches(files.sparkSession, 1000)
-    # at most LIBRARY_BOUND entries
-    sent = files.sparkSession.sparkContext.broadcast(library_index(libraries, library, library_text))
-    ext = extension(F.col(path))
-    base = files.select(key, path, text).withColumn("_path", path_origin(F.col(path)))
-    told = base.where(F.col("_path").isNotNull()).select(key, F.col("_path").alias("origin"), F.lit("path").alias("evidence"))
-    open_ = base.where(F.col("_path").isNull() & (F.length(text) > 0))
-    stats = layout(open_.select(key, F.col(text).alias("_text"), ext.alias("_ext")), "_text")
-    stats = stats.select(key, "_text", layout_origin(F.col("_ext")).alias("_layout"))
+    base = files.select(key, path, text)
+    told = base.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, path_origin(F.col(path)).alias("origin"), F.lit("path").alias("evidence")).where("origin is not null")
+    stats = layout(base.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), extension(F.col(path)).alias("_ext"), path_origin(F.col(path)).alias("_path")), "_text")
+    stats = stats.select(key, "_text", layout_origin(F.col("_ext")).alias("_layout"), "_path")
+    size = libraries.where(F.length(library_text) > 0).select(F.sum(F.length(library_text))).first()[0] or 0
+    joined = size > bound and shingle_rows(libraries.select(F.col(library_text).alias("_t")), "_t").count() > bound
+    # at most `bound` entries
+    sent = files.sparkSession.sparkContext.broadcast(({}, [], []) if joined else library_index(libraries, library, library_text))
+    if joined:
+        hits = similar_by_join(files, key, text, libraries, library, library_text).withColumnRenamed("library", "_library")
+        stats = stats.join(hits, key, "left")
+    else:
+        stats = stats.withColumn("_library", F.lit(None).cast("string"))
     head = f"{key} {files.schema[key].dataType.simpleString()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, sizes, names = sent.value
         for b in batches:
             out = []
-            for k, t, lay in b.itertuples(index=False, name=None):
-                if notice(t):
-                    out.append((k, "generated", "notice"))
-                    continue
-                i, s = best_library(t, index, sizes)
-                if s >= SIMILAR:
-                    out.append((k, "third_party", f"library {names[i]}"))
-                    continue
-                if lay is not None:
+            for k, t, lay, by_path, lib in b.itertuples(index=False, name=None):
+                if lib is None and index:
+                    i, s = best_library(t, index, sizes)
+                    lib = names[i] if s >= SIMILAR else None
+                if lib is not None:
+                    out.append((k, "third_party", f"library {lib}"))
+                elif lay is not None:
                     out.append((k, lay, "layout"))
+                elif notice(t):
+                    out.append((k, "generated", "notice"))
+                elif by_path is not None:
+                    out.append((k, by_path, "path"))
             yield pd.DataFrame(out, columns=[key, "origin", "evidence"])
 
     seen = stats.mapInPandas(run, f"{head}, origin string, evidence string")
