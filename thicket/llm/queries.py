@@ -77,12 +77,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(lost.join(told, ["scan_id", "path"], "left_semi").select("file_id"))
 
 
+def p3_faults(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each part of the check found invalid, per language."""
+    return file_faults(spark, d).where("fault <> ''").groupBy("language", "fault").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Files, invalid files and their share per repository and language, beside what the scans reported."""
-    rates = file_faults(spark, d).groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("fault") != "").alias("n_invalid"))
+    """Files, files with a verdict, invalid files and their share per repository and language, beside what the scans reported.
+
+    A file of a language without a grammar whose text was kept has no verdict; where no file has one
+    the share is null.
+    """
+    rates = file_faults(spark, d).groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count("fault").alias("n_judged"), F.count_if(F.col("fault") != "").alias("n_invalid"))
     stats = table(spark, d, "scan_stats").dropDuplicates(["scan_id", "repo"])
     reported = stats.groupBy("repo").agg(F.max_by("parse_errors", F.struct("started_at", "scan_id")).alias("repo_reported"))
-    return rates.join(reported, "repo", "left").withColumn("invalid_share", F.col("n_invalid") / F.col("n_files"))
+    return rates.join(reported, "repo", "left").withColumn("invalid_share", F.try_divide(F.col("n_invalid"), F.col("n_judged")))
 
 
 def language_model(spark: SparkSession, d: str) -> languages.Classifier:
@@ -182,5 +191,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.draw(sizes, "doc_id", targets), sizes, targets)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_evidence, p1_hand_written_findings, p3_found, p3_rates, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p8_bins, p8_report, p9_sample, p9_shares, p10_found, p10_repaired)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_origins, p1_evidence, p1_hand_written_findings, p3_found, p3_rates, p3_faults, p5_found, p5_redacted, p7_found, p7_file_shares, p7_source_phrases, p8_bins, p8_report, p9_sample, p9_shares, p10_found, p10_repaired)}
 SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship, small_batches
+from ..session import cut, ship
 from .grammars import GRAMMARS, Grammar, permissible_pairs
 
 INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
@@ -141,12 +141,11 @@ def lex(g: Grammar, text: str) -> str:
         if c in BRACKET:
             if c in "([{":
                 stack.append(c)
-            elif not stack or BRACKET[c] != stack.pop():
-                return ILLEGAL
+            elif stack:
+                # only where lines count; whether brackets match is found by the reductions
+                stack.pop()
         out.append(c)
         prev = c
-    if stack:
-        return ILLEGAL
     if lines == "layout":
         if prev:
             out.append("N")
@@ -166,31 +165,42 @@ def known(g: Grammar, kind: str, inside: str) -> str | None:
 
 
 def reduces(g: Grammar, classes: str) -> str:
-    """"" if the classes reduce to a file, else what went wrong: token, nesting or production."""
+    """"" if the classes reduce to a file, else what went wrong: token, nesting or production.
+
+    Innermost windows of brackets are reduced all at once, round by round. A window without a
+    production leaves a mark, so that brackets that don't match are still told from it.
+    """
     if ILLEGAL in classes:
         return "token"
+    bad = False
 
     def bracket(m: re.Match) -> str:
-        return known(g, KINDS[m.lastindex - 1], m.group(m.lastindex)) or ILLEGAL
+        nonlocal bad
+        symbol = known(g, KINDS[m.lastindex - 1], m.group(m.lastindex))
+        bad = bad or symbol is None
+        return symbol or "i"
 
     def suite(m: re.Match) -> str:
-        return known(g, "suite", m.group(1)) or ILLEGAL
+        nonlocal bad
+        symbol = known(g, "suite", m.group(1))
+        bad = bad or symbol is None
+        return symbol or "β"
 
     n = 1
     while n:
         classes, n = INNER.subn(bracket, classes)
-        if ILLEGAL in classes:
-            return "production"
     if re.search(r"[()\[\]{}]", classes):
         return "nesting"
+    if bad:
+        return "production"
     if "«" in classes or "»" in classes:
         if g.lines == "layout":
             classes = classes.replace("N«", "«")
         n = 1
-        while n:
+        while n and not bad:
             classes, n = SUITE.subn(suite, classes)
-            if ILLEGAL in classes:
-                return "production"
+        if bad:
+            return "production"
         if "«" in classes or "»" in classes:
             return "nesting"
     return "" if known(g, "top", classes) is not None else "production"
@@ -220,7 +230,6 @@ def lexed(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     Files whose extension has no grammar and null texts have no row; an empty text is a valid file.
     """
     ship(files.sparkSession)
-    small_batches(files.sparkSession, 1000)
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     rows = files.select(key, ext.alias("ext"), text).where(F.col("ext").isin(*GRAMMARS) & F.col(text).isNotNull())
     schema = f"{key} {files.schema[key].dataType.simpleString()}, ext string, pairs string, fault string"
