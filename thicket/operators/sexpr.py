@@ -201,6 +201,14 @@ def entry_of(name: str):
     return lambda v: F.struct(F.lit(name).alias("capture"), *(v[f].alias(f) for f in FIELDS))
 
 
+def later_than(place: Column):
+    return lambda v: F.coalesce(v["s"] > place, F.lit(True))
+
+
+def earlier_than(place: Column):
+    return lambda v: v["s"] < place
+
+
 def match_rows(nodes: DataFrame, q: Node) -> tuple[DataFrame, list[str]]:
     """Rows of matches of one pattern: file_id, _n0 (root), capture columns (structs, or arrays for * and +)."""
     has_field = "field" in nodes.columns
@@ -216,31 +224,53 @@ def match_rows(nodes: DataFrame, q: Node) -> tuple[DataFrame, list[str]]:
         for name in n.without:
             there = nodes.where(F.col("field") == name).select("file_id", F.col("parent_id").alias(at)) if has_field else None
             rows = rows if there is None else rows.join(there, ["file_id", at], "left_anti")
-        before = None
+        # place of the item before (a single child, or the first of a repeated one), and the arrays that still lack an upper bound
+        before, last, waiting = None, None, []
+        arrays: dict[str, str] = {}
         for c in n.children:
             kid, k, kid_names = build(c)
             kid = kid.withColumnRenamed(f"{k}_up", at)
             if c.role:
                 kid = kid.where(F.col(f"{k}_field") == c.role)
             if c.quantifier in ("*", "+"):
-                # all children of the type, as one array in order
+                # the children of the type after the item before, as one array in order
                 item = F.struct(F.col(f"{k}_sib").alias("s"), *(F.col(x) for x in kid_names))
-                grouped = kid.groupBy("file_id", at).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-                arrays = [F.transform("_all", part_of(x)).alias(x) for x in kid_names]
-                rows = rows.join(grouped.select("file_id", at, *arrays), ["file_id", at], "left" if c.quantifier == "*" else "inner")
+                grouped = kid.groupBy("file_id", at).agg(F.array_sort(F.collect_list(item)).alias(f"{k}_all"))
+                rows = rows.join(grouped, ["file_id", at], "left")
+                if before is not None:
+                    rows = rows.withColumn(f"{k}_all", F.filter(f"{k}_all", later_than(before)))
+                first = F.try_element_at(f"{k}_all", F.lit(1))["s"]
+                if c.anchor_before:
+                    start = F.coalesce(last, F.lit(-1)) + 1 if last is not None else F.lit(0)
+                    rows = rows.withColumn(f"{k}_all", F.when(first == start, F.col(f"{k}_all")))
+                if c.quantifier == "+":
+                    rows = rows.where(F.coalesce(F.size(f"{k}_all"), F.lit(0)) > 0)
+                before = first if before is None else F.coalesce(first, before)
+                end = F.try_element_at(f"{k}_all", F.lit(-1))["s"]
+                last = end if last is None else F.coalesce(end, last)
+                waiting.append(f"{k}_all")
+                arrays |= {x: f"{k}_all" for x in kid_names}
             else:
                 rows = rows.join(kid, ["file_id", at], "left" if c.quantifier == "?" else "inner")
                 here = F.col(f"{k}_sib")
                 ok = here.isNull()
                 if before is not None:
-                    ok = ok | (here == F.col(before) + 1 if c.anchor_before else here > F.col(before))
+                    ok = ok | (here > before) | before.isNull()
+                    rows = rows.where(ok)
+                    for w in waiting:
+                        rows = rows.withColumn(w, F.when(here.isNull(), F.col(w)).otherwise(F.filter(w, earlier_than(here))))
+                    if c.anchor_before:
+                        rows = rows.where(here.isNull() | (here == F.coalesce(last, F.lit(-1)) + 1))
                 else:
-                    ok = ok | (here == 0) if c.anchor_before else F.lit(True)
-                rows = rows.where(ok)
-                before = f"{k}_sib"
+                    rows = rows.where(ok | (here == 0) if c.anchor_before else F.lit(True))
+                before = here if before is None else F.coalesce(here, before)
+                last = here if last is None else F.coalesce(here, last)
+                waiting = []
             names += kid_names
-        if n.anchor_last and before:
-            rows = rows.where(F.col(before) == F.col(f"{at}_size") - 1)
+        if n.anchor_last and last is not None:
+            rows = rows.where(last == F.col(f"{at}_size") - 1)
+        for x, w in arrays.items():
+            rows = rows.withColumn(x, F.transform(w, part_of(x)))
         return rows, at, names
 
     rows, _, names = build(q)
@@ -256,8 +286,10 @@ def predicate_test(name: str, args: list[str]) -> Column:
         out = left.rlike(rest[0])
     elif name in ("#any-of?", "#not-any-of?"):
         out = left.isin(*rest)
+    elif name.endswith("!"):
+        return F.lit(True)  # a directive; it takes no row away
     else:
-        return F.lit(True)
+        raise QueryError(f"unknown predicate {name}", "", 0)
     return ~out if "not-" in name else out
 
 

@@ -239,6 +239,80 @@ def sexpr_quantifier(spark: SparkSession, d: str) -> DataFrame:
     return query_rows(spark, d, "(arguments (string)+ @s)")
 
 
+ITEMS = "from n a join n x on x.file_id = a.file_id and x.parent_id = a.node_id and x.native_type = 'number' where a.native_type = 'arguments'"
+
+
+@query(f"{N}, m as (select a.file_id, a.node_id, x.node_id x_id, x.sib_idx x_sib, coalesce(x.text, '') x_text, (select list({{'id': s.node_id, 't': coalesce(s.text, '')}} order by s.sib_idx) from n s where s.file_id = a.file_id and s.parent_id = a.node_id and s.native_type = 'string' and s.sib_idx < x.sib_idx) ss {ITEMS}), k as (select * from m where len(ss) > 0) select file_id, node_id, 0 pattern_index, 's' capture, v.id capture_id, len(ss) n_before from k, unnest(ss) u(v) union all select file_id, node_id, 0, 'n', x_id, len(ss) from k")
+def sexpr_order(spark: SparkSession, d: str) -> DataFrame:
+    """Texts before a number among the arguments: repeated children keep their place among the others."""
+    q = sexpr.run(nodes(spark, d), "(arguments (string)+ @s (number) @n)").withColumn("n_before", (F.size("captures") - 1).cast("bigint"))
+    return q.select(*KEY, "pattern_index", "n_before", F.explode("captures").alias("c")).select(*KEY, "pattern_index", "c.capture", F.col("c.node_id").alias("capture_id"), "n_before")
+
+
+@query(f"{N}, k as (select a.file_id, a.node_id, x.node_id x_id from n a join n x on x.file_id = a.file_id and x.parent_id = a.node_id and x.sib_idx = a.child_count - 1 and x.native_type = 'string' where a.native_type = 'arguments') select file_id, node_id, x_id capture_id from k")
+def sexpr_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return sexpr.run(nodes(spark, d), "(arguments (string) @s .)").select(*KEY, F.explode("captures.node_id").alias("capture_id"))
+
+
+# ---------------------------------------------------------------- counts, strings, digests, fields
+@query(f"{N} select count(*) n_matches from n where kind = 'CallExpression'")
+def count_matches(spark: SparkSession, d: str) -> DataFrame:
+    return stats.match_count(found("CallExpression", nodes(spark, d)))
+
+
+@query(f"{N} select exists(select 1 from n where kind = 'CallExpression') any_call, exists(select 1 from n where kind = 'NoSuchKind') any_other")
+def any_matches(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return spark.createDataFrame([(stats.any_match(found("CallExpression", n)), stats.any_match(tree.find_kinds(n, "NoSuchKind")))], "any_call boolean, any_other boolean")
+
+
+keys_query("string_nodes", lambda n: n.where(tree.is_string(F.col("native_type"))), select("native_type in ('string', 'string_literal', 'template_string', 'raw_string_literal') or ends_with(native_type, '_string') or ends_with(native_type, '_string_literal')"), own=True)
+keys_query("error_nodes", lambda n: n.where(tree.is_error(F.col("native_type"))), select("native_type = 'ERROR' or starts_with(native_type, 'MISSING')"), own=True)
+keys_query("metavariable_named", partial(found, "$X"), select("true"), own=True)
+
+
+@query(UP + " select u.file_id, u.anc node_id, min(c.node_id) first_id from up u join n a on a.file_id = u.file_id and a.node_id = u.anc join n c on c.file_id = u.file_id and c.node_id = u.node_id where a.kind = 'FunctionDeclaration' and c.kind = 'CallExpression' group by all")
+def first_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The first call below each function."""
+    n = nodes(spark, d)
+    below = tree.descendants(n, n.where(kind("FunctionDeclaration"))).join(n.where(kind("CallExpression")).select(*KEY), KEY, "left_semi")
+    return below.groupBy("file_id", F.col("above_id").alias("node_id")).agg(F.min("node_id").alias("first_id"))
+
+
+@query("select rule_id, min_by(severity, (file_path, start_line, start_column, ordinal)) severity from (select rule_id, coalesce(severity, 'warning') severity, coalesce(file_path, '') file_path, start_line, start_column, message || '|' || end_line || '|' || end_column || '|' || ingested_at::date::varchar || '|' || coalesce(severity, 'warning') ordinal from findings where rule_id is not null) group by rule_id")
+def first_severities(spark: SparkSession, d: str) -> DataFrame:
+    """The severity at each rule's first place."""
+    f = findings(spark, d).withColumn("severity", F.coalesce("severity", F.lit("warning"))).withColumn("file_path", F.coalesce("file_path", F.lit("")))
+    ordinal = F.concat_ws("|", "message", "end_line", "end_column", F.to_date("ingested_at").cast("string"), "severity")
+    return stats.first_severity(f.withColumn("ordinal", ordinal))
+
+
+@query("select lower(trim(coalesce(severity, 'warning'))) severity, count(*) n from findings where lower(trim(coalesce(severity, 'warning'))) = 'error' group by all")
+def severity_exact(spark: SparkSession, d: str) -> DataFrame:
+    f = stats.at_least(findings(spark, d), "error", exact=True)
+    return f.groupBy(F.lower(F.trim(F.coalesce("severity", F.lit("warning")))).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select distinct capture_id, replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') as escaped from captures")
+def escaped_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "captures").select("capture_id", tx.escape(F.col("text")).alias("escaped")).distinct()
+
+
+@query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as last_line, length(text) - case when contains(text, chr(10)) then length(text) - instr(reverse(text), chr(10)) + 1 else 0 end as last_column from documents where text is not null")
+def end_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Line and column at the end of every whole text."""
+    t, n = F.col("text"), F.length("text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.offset_to_line(t, n).alias("last_line"), tx.offset_to_column(t, n).alias("last_column"))
+
+
+@query(f"{N}, r as (select distinct file_id, start_offset s, end_offset e, node_id asked from n where node_id % 100 = 0) select r.file_id, r.asked, min(n.node_id) node_id from r join n on n.file_id = r.file_id and n.start_offset = r.s and n.end_offset = r.e group by all")
+def nodes_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The first node with the range of every node whose id is divisible by 100."""
+    n = nodes(spark, d)
+    asked = n.where("node_id % 100 = 0").select("file_id", "start_offset", "end_offset", F.col("node_id").alias("asked"))
+    return n.join(asked, ["file_id", "start_offset", "end_offset"]).groupBy("file_id", "asked").agg(F.min("node_id").alias("node_id"))
+
+
 # ---------------------------------------------------------------- rules
 RULES = f"""r as (select rule_id, case when language = '*' then null else language end lang, lower(coalesce(severity, 'warning')) severity, coalesce(message, rule_id) message, fix,
  regexp_extract(rule_json, '\\$([A-Z]+)', 1) var, contains(rule_json, 'inside') needs from scan_rules where enabled),
@@ -410,12 +484,15 @@ def builtin_fixes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", "n_applied", "n_skipped", F.length("new_content").alias("new_length"))
 
 
-@query()
+from .table_queries import BELOW, TREES  # noqa: E402
+
+
+@query(TREES + f"select distinct a.tree_id file_id, a.node_no node_id from t a join t d on {BELOW} where a.kind = 'FunctionDeclaration' and d.kind = 'CallExpression'")
 def delivered_tree_find(spark: SparkSession, d: str) -> DataFrame:
     """Function declarations with calls in the delivered JSON trees."""
     t = nested.flat_nodes(table(spark, d, "uast_trees"), "tree_id", F.col("delivered_at"), "doc", ("node_no", "parent_no", "last_no", "depth", "sib_no", "kind", "language", "native_type", "name", "text"))
     n = t.select(F.col("tree_id").alias("file_id"), F.col("node_no").alias("node_id"), F.when(F.col("parent_no") >= 0, F.col("parent_no")).alias("parent_id"), F.col("sib_no").alias("sib_idx"), F.col("last_no").alias("last_id"), "depth", "kind", "language", "native_type", "name", "text")
-    return rl.matching(n, {"kind": "FunctionDeclaration", "has": {"kind": "CallExpression"}}, "*")
+    return rl.matching(n, {"kind": "FunctionDeclaration", "has": {"kind": "CallExpression"}}, "*").select(*KEY)
 
 
 # ---------------------------------------------------------------- scalar functions

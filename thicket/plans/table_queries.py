@@ -48,6 +48,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return tree_nodes(spark, d, "node_no", "parent_no", "kind")
 
 
+def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return tree_nodes(spark, d, "node_no", "last_no", "post_no", "depth")
+
+
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return tree_nodes(spark, d, *(c for c in nested.FIELDS if c != "properties"))
 
@@ -79,7 +83,7 @@ def p6_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("from_no", "to_no", "rule_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_heavy_profile, p2_key_profile, p2_key_severities, p2_key_locations, p4_found, p4_nodes, p4_properties, p4_calls_in_functions, p6_found, p6_change_counts)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_heavy_profile, p2_key_profile, p2_key_severities, p2_key_locations, p4_found, p4_intervals, p4_nodes, p4_properties, p4_calls_in_functions, p6_found, p6_change_counts)}
 
 KEYED = "(select 'rule_id' key_column, rule_id key_value, * from findings union all select 'file_path', file_path, * from findings)"
 RANKED = f"""(select key_column, key_value, start_line, count(*) over w n_rows, count(start_line) over w n_valued,
@@ -113,3 +117,20 @@ SQL = {
     "p6_found": f"with {STATES} select * from diff where change is not null and from_no in (select n from pairs)",
     "p6_change_counts": f"with {STATES} select from_no, to_no, rule_id, change, count(*) n from diff where change is not null and from_no in (select n from pairs) group by all",
 }
+
+#: The delivered trees as rows in DuckDB: unwrapped, latest readable, walked by a recursive query. `path` orders nodes.
+TREES = """with recursive once as (select tree_id, delivered_at, doc from uast_trees where doc is not null and json_valid(doc)),
+un as (select tree_id, delivered_at, doc raw, doc from once union all select tree_id, delivered_at, raw, json_extract_string(doc, '$') from un where json_valid(doc) and json_type(doc) = 'VARCHAR'),
+good as (select tree_id, delivered_at, raw, doc from un where json_valid(doc) and json_type(doc) = 'OBJECT' and json_type(doc, '$.root') = 'OBJECT'),
+latest as (select tree_id, doc::json doc from good qualify row_number() over (partition by tree_id order by delivered_at desc nulls last, raw desc) = 1),
+walk as (select tree_id, []::int[] path, json_extract(doc, '$.root') node from latest
+ union all select tree_id, list_append(path, k.i::int), k.c from (select tree_id, path, unnest(list_transform(list_filter(case json_type(node, '$.children') when 'ARRAY' then json_extract(node, '$.children[*]') when 'OBJECT' then [json_extract(node, '$.children')] else []::json[] end, lambda x: json_type(x) = 'OBJECT'), lambda x, i: {{'i': i, 'c': x}})) k from walk)),
+numbered as (select tree_id, path, node, (row_number() over (partition by tree_id order by path) - 1)::int node_no, len(path) depth from walk),
+t as (select n.tree_id, n.node_no, coalesce(p.node_no, -1) parent_no, n.depth, n.path, n.node, case when json_type(n.node, '$.kind') is null or json_type(n.node, '$.kind') = 'NULL' then 'Unknown' else n.node->>'$.kind' end kind
+ from numbered n left join numbered p on p.tree_id = n.tree_id and n.depth > 0 and p.path = n.path[1:n.depth - 1]) """.replace("{{", "{").replace("}}", "}")
+BELOW = "d.tree_id = a.tree_id and d.depth > a.depth and d.path[1:a.depth] = a.path"
+SQL |= {
+    "p4_found": TREES + "select tree_id, node_no, parent_no, kind from t",
+    "p4_calls_in_functions": TREES + f"select a.tree_id, a.node_no outer_no, d.node_no inner_no from t a join t d on {BELOW} where a.kind = 'FunctionDeclaration' and d.kind = 'CallExpression'",
+    "p4_intervals": TREES + f"select a.tree_id, a.node_no, (a.node_no + count(d.node_no))::int last_no, (a.node_no - a.depth + count(d.node_no))::int post_no, a.depth::int as depth from t a left join t d on {BELOW} group by a.tree_id, a.node_no, a.depth",
+}
