@@ -132,3 +132,27 @@ def test_query_of_pattern():
     assert sexpr.from_pattern(pt.Literal('a"b')) == '(_) @match (#eq? @match "a\\"b")'
     with pytest.raises(pt.PatternError):
         sexpr.from_pattern(pt.Not(pt.Wild()))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("(p (a)+ @s (b) @n)", [(1, [1, 3], 4), (1, [1], 2), (2, [2], 3)]), ("(p (a)* @s (b) @n)", [(1, [1, 3], 4), (1, [1], 2), (2, [], 1), (2, [2], 3)]),
+    ("(p (b) @n (a)+ @s)", [(1, [3], 2), (2, [2], 1)]), ("(p (a)+ @s . (b) @n)", [(1, [1, 3], 4), (1, [1], 2), (2, [2], 3)]), ("(p (a)+ @s (b) @n .)", [(1, [1, 3], 4), (2, [2], 3)]),
+])
+def test_repeated_children_keep_their_place(spark, text, want):
+    rows = [(f, 0, None, 0, 0, 3, "p", "p", True, None, "") for f in (1, 2)]
+    for f, kids in ((1, "abab"), (2, "bab")):
+        rows += [(f, i + 1, 0, i, 1, 0, k, k, True, None, f"{k}{i}") for i, k in enumerate(kids)]
+    rows = [r[:5] + (4 if r[0] == 1 else 3,) + r[6:] if r[1] == 0 else r for r in rows]
+    df = spark.createDataFrame(rows, "file_id bigint, node_id int, parent_id int, sib_idx int, depth int, child_count int, kind string, native_type string, is_named boolean, name string, text string")
+    for c in ("start_line", "start_column", "end_line", "end_column", "start_offset", "end_offset"):
+        df = df.selectExpr("*", f"0 as {c}")
+    got = []
+    for r in sexpr.run(df, text).collect():
+        got.append((r["file_id"], [c["node_id"] for c in r["captures"] if c["capture"] == "s"], next(c["node_id"] for c in r["captures"] if c["capture"] == "n")))
+    assert sorted(got) == sorted(want)
+
+
+def test_unknown_predicates_are_refused(calls):
+    with pytest.raises(sexpr.QueryError):
+        sexpr.run(calls, "((call (id) @a) (#nonsense? @a))")
+    assert sexpr.run(calls, "((call (id) @a) (#set! @a))").count() > 0

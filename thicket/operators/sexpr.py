@@ -245,7 +245,7 @@ def match_rows(nodes: DataFrame, q: Node) -> tuple[DataFrame, list[str]]:
                     rows = rows.withColumn(f"{k}_all", F.when(first == start, F.col(f"{k}_all")))
                 if c.quantifier == "+":
                     rows = rows.where(F.coalesce(F.size(f"{k}_all"), F.lit(0)) > 0)
-                before = first if before is None else F.coalesce(first, before)
+                    before = first  # an item that may be absent bounds nothing
                 end = F.try_element_at(f"{k}_all", F.lit(-1))["s"]
                 last = end if last is None else F.coalesce(end, last)
                 waiting.append(f"{k}_all")
@@ -253,16 +253,12 @@ def match_rows(nodes: DataFrame, q: Node) -> tuple[DataFrame, list[str]]:
             else:
                 rows = rows.join(kid, ["file_id", at], "left" if c.quantifier == "?" else "inner")
                 here = F.col(f"{k}_sib")
-                ok = here.isNull()
                 if before is not None:
-                    ok = ok | (here > before) | before.isNull()
-                    rows = rows.where(ok)
-                    for w in waiting:
-                        rows = rows.withColumn(w, F.when(here.isNull(), F.col(w)).otherwise(F.filter(w, earlier_than(here))))
-                    if c.anchor_before:
-                        rows = rows.where(here.isNull() | (here == F.coalesce(last, F.lit(-1)) + 1))
-                else:
-                    rows = rows.where(ok | (here == 0) if c.anchor_before else F.lit(True))
+                    rows = rows.where(here.isNull() | (here > before) | before.isNull())
+                for w in waiting:
+                    rows = rows.withColumn(w, F.when(here.isNull(), F.col(w)).otherwise(F.filter(w, earlier_than(here))))
+                if c.anchor_before:
+                    rows = rows.where(here.isNull() | (here == (F.lit(0) if last is None else F.coalesce(last, F.lit(-1)) + 1)))
                 before = here if before is None else F.coalesce(here, before)
                 last = here if last is None else F.coalesce(here, last)
                 waiting = []

@@ -239,13 +239,13 @@ def sexpr_quantifier(spark: SparkSession, d: str) -> DataFrame:
     return query_rows(spark, d, "(arguments (string)+ @s)")
 
 
-ITEMS = "from n a join n x on x.file_id = a.file_id and x.parent_id = a.node_id and x.native_type = 'number' where a.native_type = 'arguments'"
+ITEMS = "from n a join n x on x.file_id = a.file_id and x.parent_id = a.node_id and x.native_type = 'variable_declarator' where a.native_type = 'function_definition'"
 
 
-@query(f"{N}, m as (select a.file_id, a.node_id, x.node_id x_id, x.sib_idx x_sib, coalesce(x.text, '') x_text, (select list({{'id': s.node_id, 't': coalesce(s.text, '')}} order by s.sib_idx) from n s where s.file_id = a.file_id and s.parent_id = a.node_id and s.native_type = 'string' and s.sib_idx < x.sib_idx) ss {ITEMS}), k as (select * from m where len(ss) > 0) select file_id, node_id, 0 pattern_index, 's' capture, v.id capture_id, len(ss) n_before from k, unnest(ss) u(v) union all select file_id, node_id, 0, 'n', x_id, len(ss) from k")
+@query(f"{N}, m as (select a.file_id, a.node_id, x.node_id x_id, x.sib_idx x_sib, coalesce(x.text, '') x_text, (select list({{'id': s.node_id, 't': coalesce(s.text, '')}} order by s.sib_idx) from n s where s.file_id = a.file_id and s.parent_id = a.node_id and s.native_type = 'comment' and s.sib_idx < x.sib_idx) ss {ITEMS}), k as (select * from m where len(ss) > 0) select file_id, node_id, 0 pattern_index, 's' capture, v.id capture_id, len(ss) n_before from k, unnest(ss) u(v) union all select file_id, node_id, 0, 'n', x_id, len(ss) from k")
 def sexpr_order(spark: SparkSession, d: str) -> DataFrame:
-    """Texts before a number among the arguments: repeated children keep their place among the others."""
-    q = sexpr.run(nodes(spark, d), "(arguments (string)+ @s (number) @n)").withColumn("n_before", (F.size("captures") - 1).cast("bigint"))
+    """Comments before a declaration in a function: repeated children keep their place among the others."""
+    q = sexpr.run(nodes(spark, d), "(function_definition (comment)+ @s (variable_declarator) @n)").withColumn("n_before", (F.size("captures") - 1).cast("bigint"))
     return q.select(*KEY, "pattern_index", "n_before", F.explode("captures").alias("c")).select(*KEY, "pattern_index", "c.capture", F.col("c.node_id").alias("capture_id"), "n_before")
 
 

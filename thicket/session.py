@@ -50,7 +50,3 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="thicket-checkpoints-"))
     return df.checkpoint(eager=True)
-
-
-def small_batches(spark: SparkSession, rows: int = 0) -> None:
-    """Kept for callers of old; `ship` bounds the batches."""
