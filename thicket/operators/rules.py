@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions import text as tx
 from ..session import cut
+from ..sources.frontends import Aim, Look
 from ..sources.rules import Rule, RuleError
 from . import patterns as pt
 from . import sexpr, tree
@@ -244,6 +246,8 @@ def path_test(rule: Rule) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: Columns of nodes that only queries read, or nothing.
+UNREAD = ("is_named", "field", "child_count", "depth", "front_end")
 FINDING = ("rule_id", "severity", "severity_level", "message", *schema.SPAN, "fix", "captures")
 TEMPLATES = "_rule int, rule_id string, severity string, severity_level int, _message string, _fix string"
 
@@ -307,6 +311,98 @@ def full_test(d: dict, language: str) -> Column:
     return out
 
 
+def required_words(regex: str) -> frozenset[str] | None:
+    """Words of which every text that the regular expression finds has one; None if it names none."""
+    if re.search(r"\\[0v]", regex):  # not the same in Java
+        return None
+    try:
+        parts = _parser.parse(checked_regex(regex).removeprefix("(?U)"))
+    except (re.error, OverflowError):
+        return None
+    if parts.state.flags & ~re.UNICODE:
+        return None
+
+    def of(seq) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*((str(o), a) for o, a in seq), ("END", None)]:
+            if op == "LITERAL":
+                run += chr(arg)
+                continue
+            if run:
+                found.append(frozenset((run,)))
+            run = ""
+            if op == "SUBPATTERN":
+                found.append(None if arg[1] or arg[2] else of(arg[3]))
+            elif op == "BRANCH":
+                some = [of(x) for x in arg[1]]
+                found.append(None if None in some else frozenset().union(*some))
+            elif op in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                found.append(of(arg[2]))
+        return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    return of(parts)
+
+
+def pattern_looks(p: pt.Pattern) -> tuple[Look, ...]:
+    """Looks of which one falls on every node that passes a pattern's test."""
+    if isinstance(p, pt.AnyOf):
+        return tuple(x for y in p.parts for x in pattern_looks(y))
+    if isinstance(p, pt.AllOf):
+        out: tuple[Look, ...] = (Look(),)
+        for y in p.parts:
+            out = both(out, pattern_looks(y))
+        return out
+    if isinstance(p, pt.Literal) and isinstance(p.value, str):
+        return (Look(values=frozenset((p.value,))),)
+    kind = p.native_type if isinstance(p, pt.Native) else getattr(p, "kind", None)
+    plain = isinstance(p, (pt.Kind, pt.Native, pt.Meta, pt.Wild))
+    return (Look(None if kind is None else frozenset((kind.lower(),)), text=not plain),)
+
+
+def both(a: tuple[Look, ...], b: tuple[Look, ...]) -> tuple[Look, ...]:
+    """Looks at what meets one of each; where both name kinds, values or words, those of the first."""
+    first = lambda x, y: y if x is None else x
+    return tuple(Look(first(x.kinds, y.kinds), first(x.values, y.values), first(x.words, y.words), x.text or y.text) for x in a for y in b)
+
+
+def looks_of(d: dict, language: str) -> tuple[Look, ...]:
+    """Looks of which one falls on every node that meets a condition, its relations left aside."""
+    out: tuple[Look, ...] = (Look(text="not" in d),)
+    if "pattern" in d:
+        out = both(out, pattern_looks(pt.parse(d["pattern"], language)))
+    if "kind" in d:
+        out = both(out, (Look(frozenset((d["kind"].lower(),))),))
+    if "regex" in d:
+        out = both(out, (Look(words=required_words(d["regex"]), text=True),))
+    if "any" in d:
+        out = both(out, tuple(x for y in d["any"] for x in looks_of(y, language)))
+    for x in d.get("all", ()):
+        out = both(out, looks_of(x, language))
+    return out
+
+
+def aims_of(rules: Iterable[Rule]) -> tuple[Aim, ...] | None:
+    """What the enabled rules look at, for `frontends.parse`: the findings in the nodes that it leaves are all there are.
+
+    Only `inside` and `has` at any depth hold among chosen nodes as they do among all; with other
+    relations, or patterns with children, None: all nodes are needed.
+    """
+    out = []
+    for r in rules:
+        if not r.enabled:
+            continue
+        facts = facts_of(r.rule, r.language)
+        if any(what not in ("inside", "has") or d.get("stopBy") == "neighbor" for what, d, _ in facts.values()):
+            return None
+        lang = schema.ALIASES.get(r.language.strip().lower(), r.language.strip().lower())
+        reads = bool(r.fix or r.constraints or capture_name(r.rule, r.language))
+        own = both((Look(text=reads),), looks_of(r.rule, r.language))
+        needs = tuple(looks_of(r.rule[k], r.language) for k in ("inside", "has") if k in r.rule)
+        others = tuple(x for _, d, language in facts.values() for x in looks_of(d, language))
+        out.append(Aim("*" if lang in schema.UNIVERSAL else lang, own, needs, others))
+    return tuple(out)
+
+
 def with_facts(nodes: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Nodes with one truth column per distinct relation or S-expression of all rules, each computed once."""
     facts: dict[str, tuple[str, dict, str]] = {}
@@ -323,7 +419,7 @@ def with_facts(nodes: DataFrame, rules: Iterable[Rule]) -> DataFrame:
                 keys = keys.distinct().withColumn(name + "_c", F.create_map().cast("map<string,string>"))
         else:
             keys = related(base, what, d, language).distinct()
-        nodes = nodes.join(keys.withColumn(name, F.lit(True)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        nodes = nodes.join(keys.withColumn(name, F.lit(True)).hint("merge"), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return nodes
 
 
@@ -342,7 +438,8 @@ def scan(nodes: DataFrame, rules: Iterable[Rule], files: DataFrame | None = None
         n = tx.SEVERITIES[min_severity.lower()]
         rules = [r for r in rules if (tx.SEVERITIES[r.severity] == n if exact else tx.SEVERITIES[r.severity] >= n)]
     if any(not simple(r.rule, r.language) for r in rules):
-        nodes = with_facts(cut(nodes), rules)
+        queries = any(what == "query" for r in rules for what, _, _ in facts_of(r.rule, r.language).values())
+        nodes = with_facts(cut(nodes if queries else nodes.drop(*UNREAD)), rules)
     if any(r.files or r.ignores for r in rules):
         nodes = nodes.join(files.select("file_id", "path"), "file_id", "left")
     nodes = nodes.withColumn("_lang", schema.plain_language(F.col("language")))

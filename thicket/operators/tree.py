@@ -2,7 +2,9 @@
 
 Every lookup is an equi-join on (file_id, node) keys or a running aggregate in blocks of node numbers,
 so the work is linear in the number of nodes and no file, however large, ends in one task. `file_id`
-and `node_id` identify a node; node numbers are in pre-order, the root is 0.
+and `node_id` identify a node; node numbers are in pre-order, the root is 0. Joins of nodes with nodes
+are merged: sizes told from the texts that nodes came from are far too small, and a broadcast that
+grows with the nodes would have to fit the driver.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def running(nodes: DataFrame, value: Column, how: str, name: str) -> DataFrame:
     before = Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file_id", "_block", fn("_all").over(before).alias("_before"))
     inside = Window.partitionBy("file_id", "_block").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.withColumn("_in", fn("v").over(inside)).join(blocks, ["file_id", "_block"])
+    both = rows.withColumn("_in", fn("v").over(inside)).join(blocks.hint("merge"), ["file_id", "_block"])
     total = F.greatest("_in", "_before") if how == "max" else F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0))
     return both.select(*KEY, total.alias(name))
 
@@ -129,7 +131,7 @@ def inside(nodes: DataFrame, test: Column) -> DataFrame:
     reach = running(nodes, F.when(F.coalesce(test, F.lit(False)), F.col("last_id")), "max", "_reach")
     # the reach before the node: that of the node numbered one less
     prev = reach.select("file_id", (F.col("node_id") + 1).alias("node_id"), "_reach")
-    return nodes.select(*KEY).join(prev, KEY).where("_reach >= node_id").select(*KEY)
+    return nodes.select(*KEY).join(prev.hint("merge"), KEY).where("_reach >= node_id").select(*KEY)
 
 
 def inside_parent(nodes: DataFrame, test: Column) -> DataFrame:
@@ -142,7 +144,7 @@ def count_below(nodes: DataFrame, test: Column, name: str = "n_below") -> DataFr
     """file_id, node_id, `name`: proper descendants that pass the test, by prefix counts at both ends of the interval."""
     cum = running(nodes, F.when(F.coalesce(test, F.lit(False)), 1).otherwise(0), "sum", "_c")
     at_end = cum.select("file_id", F.col("node_id").alias("last_id"), F.col("_c").alias("_end"))
-    both = nodes.select(*KEY, "last_id").join(cum, KEY).join(at_end, ["file_id", "last_id"])
+    both = nodes.select(*KEY, "last_id").join(cum.hint("merge"), KEY).join(at_end.hint("merge"), ["file_id", "last_id"])
     return both.select(*KEY, (F.col("_end") - F.col("_c")).alias(name))
 
 

@@ -470,8 +470,8 @@ def parsed_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def builtin_scan(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all built-in rules in the kept texts."""
-    f = kept_files(spark, d)
-    return rl.scan(cut(frontends.parse(f)), rule_source.ruleset("all")).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("file_id").alias("n_files"))
+    f, rules = kept_files(spark, d), rule_source.ruleset("all")
+    return rl.scan(frontends.parse(f, aims=rl.aims_of(rules)), rules).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("file_id").alias("n_files"))
 
 
 @query()
