@@ -83,3 +83,11 @@ def test_builtin_scan_broadcasts_only_rules(spark, folder):
     assert got == {tuple(r) for r in whole.groupBy("rule_id", "severity").agg(F.count(F.lit(1)), F.countDistinct("file_id")).collect()}
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"BroadcastHashJoin", plan)) == 1, plan
+
+
+def test_tokens_with_words():
+    words, types = frozenset(("ab", "bc", "TODO")), frozenset(("identifier", "comment"))
+    for text in (*(t or "" for _, t in TEXTS), "xab1 1bc 'ab' /* ab\n*/ a bc // TODO abc\nb c abbc", "abc", "", "a-b ab.bc 'x' # q"):
+        every = [k for line in frontends.lexical(text)["kids"] for k in line["kids"] if k["type"] in types]
+        assert frontends.lexical(text, types)["kids"] == every
+        assert frontends.lexical(text, types, words)["kids"] == [k for k in every if any(w in text[k["start"] : k["end"]] for w in words)]
